@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _marked(part, i):
-    """Markup, a DOI prefix or a URL on some references, so that cleaning has work to do."""
+    """Markup, a DOI prefix or a URL on some references, a mere URL in place of others, so that
+    cleaning has work to do."""
     return (
-        F.when(i % 11 == 4, F.concat(F.lit("doi:10.1000/182 "), part))
+        F.when(i % 33 == 21, F.concat(F.lit("http://ref.example/"), i))
+        .when(i % 11 == 4, F.concat(F.lit("doi:10.1000/182 "), part))
         .when(i % 11 == 7, F.concat(F.lit("<i>Vol. 12</i> &amp; "), part))
         .when(i % 11 == 9, F.concat(F.lit("http://ref.example/x "), part))
         .otherwise(part)
@@ -34,14 +36,17 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One work per document: its sentences become the references."""
     docs = table(spark, sf_dir, "documents")
     doc, lang = F.col("doc_id"), F.col("lang")
+    # ``F.trim`` itself would take the position as its second argument.
     parts = F.filter(
-        F.transform(F.split("text", r"[.\n]+"), F.trim), lambda p: p.rlike(TERM)
+        F.transform(F.split("text", r"[.\n]+"), lambda p: F.trim(p)),
+        lambda p: p.rlike(TERM),
     )
     docs = docs.select("*", F.inline(F.array(F.struct(parts.alias("parts")))))
 
     def planted(part, i):
         return F.when(
-            (doc % 4 == 0) & (i % 10 < 7), F.concat(F.lit("Autor"), lang, F.lit(" "), part)
+            (doc % 4 == 0) & ((i % 10 < 7) | (doc % 36 == 0)),
+            F.concat(F.lit("Autor"), lang, F.lit(" "), part),
         ).otherwise(part)
 
     def reference(part, i0):
@@ -65,8 +70,10 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     family = F.when(doc % 8 == 0, F.concat(F.lit("Autor"), lang)).otherwise(
         F.regexp_extract("text", TERM, 0)
     )
-    container = F.when(doc % 16 == 0, F.concat(F.lit("Autor"), lang, F.lit(" Annals"))).otherwise(
-        F.concat(F.lit("Journal "), lang)
+    container = (
+        F.when(doc % 16 == 0, F.concat(F.lit("Autor"), lang, F.lit(" Annals")))
+        .when(doc % 5 < 2, F.concat(F.lit("Journal "), lang, F.lit(" "), "source"))
+        .otherwise(F.concat(F.lit("Journal "), lang))
     )
     issns = F.filter(
         F.array(
@@ -120,3 +127,42 @@ def ignore_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.regexp_extract("text", TERM, 0)).alias("word")
     )
     return countries.unionByName(tokens).filter(F.col("word") != "").distinct()
+
+
+def journals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journals by ISSN with their total number of DOIs; one source in six is unknown."""
+    number = F.regexp_extract("source", "[0-9]+", 0).cast("int")
+    per_source = (
+        table(spark, sf_dir, "documents")
+        .groupBy("source")
+        .agg((F.count("*") * 10).alias("total_dois"))
+        .filter(number % 6 != 5)
+    )
+    title = F.concat(F.lit("Quarterly "), (number % 15).cast("string"))
+    return per_source.select(
+        F.explode(F.array(F.concat(F.lit("P"), "source"), F.concat(F.lit("E"), "source"))).alias(
+            "issn"
+        ),
+        title.alias("title"),
+        "total_dois",
+    )
+
+
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens known to be persons."""
+    return (
+        table(spark, sf_dir, "documents")
+        .filter(F.col("lang") != "en")
+        .select(F.concat(F.lit("Autor"), "lang").alias("name"))
+        .distinct()
+    )
+
+
+def toxic_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the works whose document is labelled toxic."""
+    return (
+        table(spark, sf_dir, "labels")
+        .filter(F.col("toxic") == 1)
+        .select(F.concat(F.lit("10.5555/"), "doc_id").alias("DOI"))
+        .distinct()
+    )

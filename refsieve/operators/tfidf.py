@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refsieve.functions import text
+from refsieve.functions.gate import passing
 from refsieve.operators.copies import collapse, copy_pairs, counted_pairs, titled_pairs
 from refsieve.operators.prefix_join import candidate_pairs, with_both
+from refsieve.session import stored
 
 # Slack on squared norms, so that rounding never shortens a prefix.
 SLACK = 1e-9
@@ -93,8 +95,9 @@ def tfidf_pairs(
 
     Columns ``id1, id2, copies1, copies2, score, n_pairs, title1, title2``.
     """
-    groups = collapse(df, column, id_column)
-    vectors = _vectors(_weighted_terms(groups))
+    groups = stored(collapse(df, column, id_column), "titles")
+    # Read by both sides of the join and by both sides of the check: written once instead.
+    vectors = stored(_vectors(_weighted_terms(groups)), "vectors")
     leading = F.slice(F.col("vector"), F.lit(1), _prefix_length(F.col("vector"), threshold))
     records = vectors.select(
         "id",
@@ -109,9 +112,11 @@ def tfidf_pairs(
     found = candidate_pairs(records, [], lambda a, b: F.lit(True))
     scored = with_both(found, records, ["copies", "vector", "terms", "weights"]).select(
         "id1", "id2", "copies1", "copies2",
-        _dot(F.col("vector1"), F.col("terms2"), F.col("weights2")).alias("score"),
+        passing(
+            _dot(F.col("vector1"), F.col("terms2"), F.col("weights2")), lambda s: s >= threshold
+        ).alias("score"),
     )
-    near = counted_pairs(scored.filter(F.col("score") >= threshold))
+    near = counted_pairs(scored)
     worded = groups.filter(F.col("value").rlike(text.TERM))
     return titled_pairs(near.unionByName(copy_pairs(worded)), groups)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refsieve.functions import text, works
+from refsieve.functions.gate import once, passing
 from refsieve.operators import gating, tokens as token_ops
 from refsieve.operators.gating import AUTHORS, MIN_PROCESSABLE, UNSTRUCTURED
 from refsieve.operators.tokens import MIN_FRACTION
@@ -66,10 +67,6 @@ def _longest_run(ordered: Column) -> Column:
     return F.when(F.size(ordered) > 0, grown).otherwise(0)
 
 
-def _one_row(*columns: Column) -> Column:
-    return F.array(F.struct(*columns))
-
-
 def _scored(df: DataFrame, words: dict[str, list[str]], min_fraction: float) -> DataFrame:
     cleaned = F.filter(
         F.transform(
@@ -80,24 +77,21 @@ def _scored(df: DataFrame, words: dict[str, list[str]], min_fraction: float) ->
         ),
         lambda p: text.has_token(p["text"]),
     )
-    enough = F.filter(F.array(cleaned), lambda refs: F.size(refs) >= MIN_PROCESSABLE)
-    df = df.select("*", F.explode(enough).alias("cleaned"))
+    enough = passing(cleaned, lambda refs: F.size(refs) >= MIN_PROCESSABLE)
+    df = df.select("*", enough.alias("cleaned"))
 
     per_reference = _kept_tokens(words)
-    df = df.select("*", F.inline(_one_row(per_reference.alias("per_reference"))))
+    df = df.select("*", once(per_reference.alias("per_reference")))
     once_each = F.flatten(F.transform("per_reference", F.array_distinct))
-    df = df.select("*", F.inline(_one_row(F.sort_array(once_each).alias("ordered"))))
+    df = df.select("*", once(F.sort_array(once_each).alias("ordered")))
 
-    share = F.transform(
-        F.array(_longest_run(F.col("ordered"))),
-        lambda best: F.struct(
-            best.alias("reference_count"), (best / F.size("cleaned")).alias("fraction")
-        ),
+    covered = passing(
+        _longest_run(F.col("ordered")),
+        lambda best: (best > 0) & (best / F.size("cleaned") >= min_fraction),
     )
-    covered = F.filter(
-        share, lambda s: (s["reference_count"] > 0) & (s["fraction"] >= min_fraction)
+    return df.select("*", covered.alias("reference_count")).withColumn(
+        "fraction", F.col("reference_count") / F.size("cleaned")
     )
-    return df.select("*", F.inline(covered))
 
 
 def _vocabulary(df: DataFrame) -> DataFrame:
@@ -108,7 +102,7 @@ def _vocabulary(df: DataFrame) -> DataFrame:
             lambda t, i: t == F.get(F.col("ordered"), i + F.col("reference_count") - 1),
         )
     )
-    df = df.select("*", F.inline(_one_row(leaders.alias("leaders"))))
+    df = df.select("*", once(leaders.alias("leaders")))
     occurrences = F.flatten("per_reference")
     counted = F.transform(
         "leaders",
@@ -116,7 +110,7 @@ def _vocabulary(df: DataFrame) -> DataFrame:
             F.size(F.filter(occurrences, lambda t: t == leader)).alias("n"), leader.alias("token")
         ),
     )
-    df = df.select("*", F.inline(_one_row(counted.alias("counted"))))
+    df = df.select("*", once(counted.alias("counted")))
     most = F.array_max(F.transform("counted", lambda c: c["n"]))
     winners = F.filter("counted", lambda c: c["n"] == most)
     return df.withColumn("token_vocabulary", F.transform(winners, lambda c: c["token"]))

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refsieve.functions.gate import once
 from refsieve.functions.text import TERM
 from refsieve.schema import REFERENCE, WORK
 
@@ -41,7 +42,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(F.split("text", r"[.\n]+"), lambda p: F.trim(p)),
         lambda p: p.rlike(TERM),
     )
-    docs = docs.select("*", F.inline(F.array(F.struct(parts.alias("parts")))))
+    docs = docs.select("*", once(parts.alias("parts")))
 
     def planted(part, i):
         return F.when(

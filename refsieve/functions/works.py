@@ -26,7 +26,7 @@ def author_names(authors: Column) -> Column:
             F.concat_ws(", ", _filled(a.getField("family")), _filled(a.getField("given")))
         ),
     )
-    return F.when(F.size(authors) > 0, names)
+    return F.when(F.array_size(authors) > 0, names)
 
 
 def author_flag(vocabulary: Column, authors: Column) -> Column:
@@ -35,7 +35,7 @@ def author_flag(vocabulary: Column, authors: Column) -> Column:
         F.split(F.array_join(authors, ","), ","), lambda part: F.regexp_replace(part, NON_WORD, "")
     )
     return yes_no(
-        (F.size(authors) > 0) & F.arrays_overlap(F.transform(vocabulary, F.lower), parts)
+        (F.array_size(authors) > 0) & F.arrays_overlap(F.transform(vocabulary, F.lower), parts)
     )
 
 

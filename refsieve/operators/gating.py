@@ -19,7 +19,7 @@ TEXT_CUT = 50
 
 def with_min_refs(df: DataFrame, more_than: int = MIN_REFERENCES) -> DataFrame:
     """Works with more than ``more_than`` references."""
-    return df.filter(F.coalesce(F.size("reference"), F.lit(0)) > more_than)
+    return df.filter(F.coalesce(F.array_size("reference"), F.lit(0)) > more_than)
 
 
 def has_references(df: DataFrame) -> DataFrame:
@@ -99,8 +99,8 @@ def with_processable_share(
         F.array(processable_array(F.col("reference"), prefer)),
         lambda refs: F.struct(
             refs.alias("proc_refs"),
-            F.size(refs).alias("proc_ref_count"),
-            percentage(F.size(refs), F.col("reference-count")).alias("proc_ref_ptge"),
+            F.array_size(refs).alias("proc_ref_count"),
+            percentage(F.array_size(refs), F.col("reference-count")).alias("proc_ref_ptge"),
         ),
     )
     passing = F.filter(
@@ -115,7 +115,7 @@ def processable_share(
 ) -> DataFrame:
     """Exploratory share: author strings first, nothing cleaned, count and rounded percentage."""
     count = F.coalesce(
-        F.size(
+        F.array_size(
             F.filter(
                 "reference",
                 lambda r: r["author"].isNotNull() | r["unstructured"].isNotNull(),
@@ -154,7 +154,7 @@ def project_work(df: DataFrame) -> DataFrame:
         works.typed_issns(F.col("issn-type")).alias("issn"),
         "member",
         F.col("reference-count").alias("ref_count"),
-        F.size("reference").alias("total_reference_length"),
+        F.array_size("reference").alias("total_reference_length"),
         *extra,
     )
 

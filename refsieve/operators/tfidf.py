@@ -73,7 +73,7 @@ def _prefix_length(vector: Column, threshold: float) -> Column:
             ),
         ).otherwise(acc),
     )
-    return F.size(vector) - rest["n"] + 1
+    return F.array_size(vector) - rest["n"] + 1
 
 
 def _dot(vector: Column, terms: Column, weights: Column) -> Column:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refsieve import fixed_values
 from refsieve.functions import text
+from refsieve.functions.gate import once, passing
 from refsieve.operators.gating import AUTHORS, MIN_PROCESSABLE, UNSTRUCTURED
 
 MIN_FRACTION = 0.5
@@ -58,15 +59,25 @@ def stop_table(
 
 def cleaned_refs(refs: DataFrame) -> DataFrame:
     """Clean processable references once more and drop those that have no token left."""
-    return refs.withColumn("text", text.clean_reference(F.col("text"))).filter(
-        text.has_token(F.col("text"))
-    )
+    kept = passing(text.clean_reference(F.col("text")), text.has_token)
+    return refs.select("DOI", "ref_idx", "ref_type", kept.alias("text"))
 
 
 def reference_tokens(refs: DataFrame) -> DataFrame:
-    """One row per token occurrence: ``DOI, ref_idx, ref_type, token``."""
-    return refs.select(
-        "DOI", "ref_idx", "ref_type", F.explode(text.tokenize(F.col("text"))).alias("token")
+    """One row per token occurrence: ``DOI, ref_idx, ref_type, token, first``.
+
+    ``first`` marks the first occurrence within its reference, so that references can later be
+    counted by a plain sum instead of a distinct count with a shuffle of its own.
+    """
+    found = refs.select(
+        "DOI", "ref_idx", "ref_type", once(text.tokenize(F.col("text")).alias("tokens"))
+    )
+    return found.select("*", F.posexplode("tokens").alias("pos", "token")).select(
+        "DOI",
+        "ref_idx",
+        "ref_type",
+        "token",
+        (F.array_position("tokens", F.col("token")) == F.col("pos") + 1).alias("first"),
     )
 
 
@@ -91,27 +102,23 @@ def remove_stopwords(
 def token_counts(tokens: DataFrame) -> DataFrame:
     """Occurrences and references per work and token.
 
-    The inner grouping combines fully before its shuffle, because the references of one work
-    come from one input row.
+    The references of a work come from one input row, so all its counts are combined before the
+    one shuffle.
     """
-    per_reference = tokens.groupBy("DOI", "token", "ref_idx").agg(F.count("*").alias("n"))
-    return per_reference.groupBy("DOI", "token").agg(
-        F.sum("n").alias("token_count"), F.count("*").alias("reference_count")
+    return tokens.groupBy("DOI", "token").agg(
+        F.count("*").alias("token_count"), F.count_if("first").alias("reference_count")
     )
 
 
 def dominant_tokens(counts: DataFrame) -> DataFrame:
     """Token(s) of each work with the most references, then the most occurrences; ties all kept.
 
-    The best pair is a plain aggregate and the winners are found by an equi-join on it, so no
-    task ever holds all the tokens of a work.
+    Spark limits ``rank() = 1`` before the shuffle by work, so only tokens that lead within their
+    task are sent.
     """
-    best = counts.groupBy("DOI").agg(
-        F.max(F.struct("reference_count", "token_count")).alias("best")
-    )
-    best = best.select("DOI", "best.reference_count", "best.token_count")
-    winners = counts.join(best, ["DOI", "reference_count", "token_count"], "left_semi")
-    return winners.groupBy("DOI", "reference_count", "token_count").agg(
+    by_work = Window.partitionBy("DOI").orderBy(F.desc("reference_count"), F.desc("token_count"))
+    leading = counts.withColumn("_rank", F.rank().over(by_work)).filter(F.col("_rank") == 1)
+    return leading.groupBy("DOI", "reference_count", "token_count").agg(
         F.sort_array(F.collect_list("token")).alias("token_vocabulary")
     )
 

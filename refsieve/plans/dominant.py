@@ -55,7 +55,7 @@ def _longest_run(ordered: Column) -> Column:
 
     The running best grows by one whenever the value that many places back is the same.
     """
-    positions = F.sequence(F.lit(0), F.size(ordered) - 1)
+    positions = F.sequence(F.lit(0), F.array_size(ordered) - 1)
     grown = F.aggregate(
         positions,
         F.lit(0),
@@ -64,7 +64,7 @@ def _longest_run(ordered: Column) -> Column:
             F.when(i >= best, best + 1).otherwise(best),
         ).otherwise(best),
     )
-    return F.when(F.size(ordered) > 0, grown).otherwise(0)
+    return F.when(F.array_size(ordered) > 0, grown).otherwise(0)
 
 
 def _scored(df: DataFrame, words: dict[str, list[str]], min_fraction: float) -> DataFrame:
@@ -77,7 +77,7 @@ def _scored(df: DataFrame, words: dict[str, list[str]], min_fraction: float) ->
         ),
         lambda p: text.has_token(p["text"]),
     )
-    enough = passing(cleaned, lambda refs: F.size(refs) >= MIN_PROCESSABLE)
+    enough = passing(cleaned, lambda refs: F.array_size(refs) >= MIN_PROCESSABLE)
     df = df.select("*", enough.alias("cleaned"))
 
     per_reference = _kept_tokens(words)
@@ -87,10 +87,10 @@ def _scored(df: DataFrame, words: dict[str, list[str]], min_fraction: float) ->
 
     covered = passing(
         _longest_run(F.col("ordered")),
-        lambda best: (best > 0) & (best / F.size("cleaned") >= min_fraction),
+        lambda best: (best > 0) & (best / F.array_size("cleaned") >= min_fraction),
     )
     return df.select("*", covered.alias("reference_count")).withColumn(
-        "fraction", F.col("reference_count") / F.size("cleaned")
+        "fraction", F.col("reference_count") / F.array_size("cleaned")
     )
 
 
@@ -107,7 +107,7 @@ def _vocabulary(df: DataFrame) -> DataFrame:
     counted = F.transform(
         "leaders",
         lambda leader: F.struct(
-            F.size(F.filter(occurrences, lambda t: t == leader)).alias("n"), leader.alias("token")
+            F.array_size(F.filter(occurrences, lambda t: t == leader)).alias("n"), leader.alias("token")
         ),
     )
     df = df.select("*", once(counted.alias("counted")))
@@ -137,7 +137,7 @@ def _result(df: DataFrame) -> DataFrame:
 def _by_rows(gated: DataFrame, words: dict[str, list[str]], min_fraction: float) -> DataFrame:
     scored = _vocabulary(_scored(gated, words, min_fraction))
     return _result(
-        scored.withColumn("cleaned_references_length", F.size("cleaned")).withColumnRenamed(
+        scored.withColumn("cleaned_references_length", F.array_size("cleaned")).withColumnRenamed(
             "fraction", "token_frac_refs"
         )
     )

@@ -37,7 +37,7 @@ def reference_profile(df: DataFrame) -> DataFrame:
     """How many references of a work are free text, have an author, only a DOI, or neither."""
 
     def how_many(condition):
-        return F.coalesce(F.size(F.filter("reference", condition)), F.lit(0))
+        return F.coalesce(F.array_size(F.filter("reference", condition)), F.lit(0))
 
     def bare(r):
         return r["unstructured"].isNull() & r["author"].isNull()

@@ -100,7 +100,7 @@ def read_snapshot(spark, sf):
         works.select(
             "DOI", "type", "title", "container-title", "member", "prefix",
             F.col("reference-count").alias("reference_count"),
-            F.coalesce(F.size("reference"), F.lit(0)).alias("n_references"),
+            F.coalesce(F.array_size("reference"), F.lit(0)).alias("n_references"),
             wx.author_names(F.col("author")).alias("author"),
         ).withColumnRenamed("container-title", "container_title")
     )
@@ -117,7 +117,7 @@ def read_items(spark, sf):
     ).text(path)
     return flat(
         snapshot.read_items(spark, path).select(
-            "DOI", "type", "member", F.coalesce(F.size("reference"), F.lit(0)).alias("n_references")
+            "DOI", "type", "member", F.coalesce(F.array_size("reference"), F.lit(0)).alias("n_references")
         )
     )
 
@@ -149,7 +149,7 @@ def report_round_trip(spark, sf):
 
 def min_refs(spark, sf):
     kept = gating.with_min_refs(views.works(spark, sf))
-    return flat(kept.select("DOI", F.size("reference").alias("n_references")))
+    return flat(kept.select("DOI", F.array_size("reference").alias("n_references")))
 
 
 def processable_refs(spark, sf):
@@ -228,7 +228,7 @@ def columns_like(spark, sf):
             "prefix",
             F.col("reference-count").alias("reference_count"),
             F.col("is-referenced-by-count").alias("cited_by"),
-            F.coalesce(F.size("reference"), F.lit(0)).alias("n_references"),
+            F.coalesce(F.array_size("reference"), F.lit(0)).alias("n_references"),
         )
     )
 
@@ -255,7 +255,7 @@ def tokenize(spark, sf):
     return flat(
         docs.select(
             "doc_id",
-            F.size("tokens").alias("n_tokens"),
+            F.array_size("tokens").alias("n_tokens"),
             F.md5(F.array_join("tokens", " ")).alias("digest"),
         )
     )

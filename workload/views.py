@@ -94,7 +94,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 8, "proceedings-article")
         .otherwise("posted-content")
     )
-    size = F.size("parts")
+    size = F.array_size("parts")
     dated = F.struct(
         F.array(F.array((2000 + doc % 25).cast("int"), (1 + doc % 12).cast("int"))).alias(
             "date-parts"
@@ -109,7 +109,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array(F.struct(family.alias("family"), F.substring("source", 1, 4).alias("given"))),
         ),
         "container-title": F.when(doc % 11 != 0, F.array(container)),
-        "issn-type": F.when(F.size(issns) > 0, issns),
+        "issn-type": F.when(F.array_size(issns) > 0, issns),
         "member": F.col("source"),
         "prefix": F.lit("10.5555"),
         "reference-count": (size + doc % 5).cast("int"),

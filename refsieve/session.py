@@ -67,3 +67,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Input per core below which a scan cannot keep all cores busy.
+BYTES_PER_CORE = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small scan over all cores.
+
+    Spark makes no more splits than a table has row groups. That leaves cores idle where little
+    data means much work, such as a table about to be exploded. Only tables of less than
+    ``BYTES_PER_CORE`` per core are shuffled; larger ones are read as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * BYTES_PER_CORE else df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,7 @@ from refsieve.session import shared_folder, stored
 from refsieve.sources import sinks, snapshot
 from workload import views
 
-_WRITTEN: dict[tuple[str, str], str] = {}
+_WRITTEN: dict[tuple, str] = {}
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -61,9 +62,15 @@ def first_titles(spark, sf):
     return titled.filter(F.col("title") != "")
 
 
+def _version(sf):
+    """When a local data folder last changed."""
+    source = os.path.join(sf, "documents.parquet")
+    return os.stat(source).st_mtime_ns if os.path.exists(source) else None
+
+
 def results(spark, sf):
     """The result table, written once per session and data folder and read back."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf, _version(sf))
     if key not in _WRITTEN:
         found = dominant.dominant_token_works(views.works(spark, sf), stop_words(spark, sf))
         _WRITTEN[key] = sinks.write_results(found, _scratch(spark, "results"))
@@ -725,7 +732,7 @@ def title_members(spark, sf):
 
 
 def similar_title_report(spark, sf):
-    articles = _articles(spark, sf)
+    articles = stored(_articles(spark, sf).select(titles.ARTICLE_FIELDS), "articles")
     cleaned_titles = titles.clean_titles(articles, STOP_TITLES)
     pairs = stored(tfidf.tfidf_pairs(cleaned_titles.filter(F.col("title") != "")), "title-pairs")
     return flat(titles.similar_title_report(articles, pairs))

@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 from refsieve.functions.gate import once
 from refsieve.functions.text import TERM
 from refsieve.schema import REFERENCE, WORK
+from refsieve.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table. A table that is a single file is one split at best, so it is spread over
-    the cores before any work is done on it; a table of many files is read as it is."""
+    """One given table; the documents, which every text query works hard on, over all cores."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    if name == "documents" and len(df.inputFiles()) == 1:
-        df = df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    return spread(df) if name == "documents" else df
 
 
 def _marked(part, i):

@@ -57,6 +57,51 @@ JOURNAL_HEADINGS = {
     "doi_pge": "Percentage of DOI counts over total number of DOIs",
 }
 
+# Columns of the reports, in order.
+BY_ISSN_AND_TITLE = [
+    "token_counts_by_electronic_issn",
+    "token_counts_by_print_issn",
+    "token_counts_by_container_title",
+]
+ARTICLE_COLUMNS = [
+    "DOI", "separated_tokens", "token_frac_refs", "author", "flag", "title", "container_title",
+    "print_issn", "electronic_issn", "ref_pge", "total_reference_length", *BY_ISSN_AND_TITLE,
+    "member",
+]
+BOOK_COLUMNS = [
+    "DOI", "separated_tokens", "token_frac_refs", "author", "flag", "title", "member", "ref_pge",
+    "total_reference_length",
+]
+CHAPTER_COLUMNS = [
+    "DOI", "separated_tokens", "token_frac_refs", "author", "title", "container_title", "flag",
+    "title_flag", "container_title_flag", "member", "ref_pge", "total_reference_length",
+]
+CONTAINED_COLUMNS = [
+    "DOI", "separated_tokens", "token_frac_refs", "author", "flag", "title", "container_title",
+    "member", "ref_pge", "total_reference_length",
+]
+WORK_TYPE_COLUMNS = {
+    "proceedings-article": CONTAINED_COLUMNS,
+    "posted-content": BOOK_COLUMNS,
+    "other": CONTAINED_COLUMNS,
+}
+DUPLICATE_COLUMNS = [
+    "DOI", "title", "container_title", "print_issn", "electronic_issn", "separated_tokens",
+    "flag", "member",
+]
+
+# Columns of the similar-title report, and names of the partner's.
+PARTNER_NAMES = {
+    "author": "doi2_author",
+    "container_title": "doi2_container_title",
+    "print_issn": "doi2_print_issn",
+    "electronic_issn": "doi2_electronic_issn",
+    "member": "doi2_member",
+}
+SIMILAR_TITLE_COLUMNS = [
+    "DOI", "title", "author", "container_title", "print_issn", "electronic_issn", "member",
+]
+
 # Fixed value: shown in the journal report where a value is missing.
 MISSING = "None found"
 

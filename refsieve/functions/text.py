@@ -11,6 +11,7 @@ import html.entities
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The patterns.
 WORD = r"[\p{L}\p{N}_]"
 NON_WORD = r"[^\p{L}\p{N}_]"
 TOKEN = WORD + "{2,15}"

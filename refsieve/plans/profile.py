@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from refsieve.fixed_values import BY_ISSN_AND_TITLE
 from refsieve.functions import text
 from refsieve.functions.text import separated
 from refsieve.operators.grouping import ascending, descending, differs
-from refsieve.plans.reports import BY_ISSN_AND_TITLE, JOURNAL_ARTICLE
+from refsieve.plans.reports import JOURNAL_ARTICLE
 
 
 def term_counts(

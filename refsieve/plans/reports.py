@@ -11,7 +11,18 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.fixed_values import ARTICLE_HEADINGS, MISSING, STOP_TITLES
+from refsieve.fixed_values import (
+    ARTICLE_COLUMNS,
+    ARTICLE_HEADINGS,
+    BOOK_COLUMNS,
+    BY_ISSN_AND_TITLE,
+    CHAPTER_COLUMNS,
+    CONTAINED_COLUMNS,
+    DUPLICATE_COLUMNS,
+    MISSING,
+    STOP_TITLES,
+    WORK_TYPE_COLUMNS,
+)
 from refsieve.functions import works
 from refsieve.operators.grouping import (
     ascending,
@@ -24,37 +35,6 @@ from refsieve.operators.grouping import (
 from refsieve.operators.sets import with_ids, without_ids
 
 JOURNAL_ARTICLE = "journal-article"
-BY_ISSN_AND_TITLE = [
-    "token_counts_by_electronic_issn",
-    "token_counts_by_print_issn",
-    "token_counts_by_container_title",
-]
-ARTICLE_COLUMNS = [
-    "DOI", "separated_tokens", "token_frac_refs", "author", "flag", "title", "container_title",
-    "print_issn", "electronic_issn", "ref_pge", "total_reference_length", *BY_ISSN_AND_TITLE,
-    "member",
-]
-BOOK_COLUMNS = [
-    "DOI", "separated_tokens", "token_frac_refs", "author", "flag", "title", "member", "ref_pge",
-    "total_reference_length",
-]
-CHAPTER_COLUMNS = [
-    "DOI", "separated_tokens", "token_frac_refs", "author", "title", "container_title", "flag",
-    "title_flag", "container_title_flag", "member", "ref_pge", "total_reference_length",
-]
-CONTAINED_COLUMNS = [
-    "DOI", "separated_tokens", "token_frac_refs", "author", "flag", "title", "container_title",
-    "member", "ref_pge", "total_reference_length",
-]
-WORK_TYPE_COLUMNS = {
-    "proceedings-article": CONTAINED_COLUMNS,
-    "posted-content": BOOK_COLUMNS,
-    "other": CONTAINED_COLUMNS,
-}
-DUPLICATE_COLUMNS = [
-    "DOI", "title", "container_title", "print_issn", "electronic_issn", "separated_tokens",
-    "flag", "member",
-]
 
 
 def shape_report(

@@ -7,22 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.fixed_values import STOP_TITLES
+from refsieve.fixed_values import PARTNER_NAMES, SIMILAR_TITLE_COLUMNS, STOP_TITLES
 from refsieve.functions import text
 from refsieve.operators.grouping import count_over, not_in
 from refsieve.operators.sets import join_pairs, join_partner
 
-PARTNER_NAMES = {
-    "author": "doi2_author",
-    "container_title": "doi2_container_title",
-    "print_issn": "doi2_print_issn",
-    "electronic_issn": "doi2_electronic_issn",
-    "member": "doi2_member",
-}
-ARTICLE_FIELDS = [
-    "DOI", "title", "author", "container_title", "print_issn", "electronic_issn", "member",
-]
-
 
 def clean_titles(
     df: DataFrame, stop_titles: Sequence[str] = tuple(STOP_TITLES), order: str | None = None
@@ -52,6 +41,6 @@ def similar_title_report(articles: DataFrame, pairs: DataFrame) -> DataFrame:
         F.col("title2").alias("doi2_title"),
     )
     counted = count_over(keyed, ["DOI"], "DOI_counts", "DOI2")
-    combined = join_pairs(articles.select(ARTICLE_FIELDS), counted)
+    combined = join_pairs(articles.select(SIMILAR_TITLE_COLUMNS), counted)
     report = join_partner(combined, articles, PARTNER_NAMES)
     return count_over(report, ["container_title"], "container_title_counts")

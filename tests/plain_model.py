@@ -3,11 +3,15 @@
 import re
 from collections import Counter
 
+# The token pattern and the clean-up patterns.
 WORD = re.compile(r"\w{2,15}")
+CLEAN_UP = [
+    r"doi:.*?\s", r"<.*?>", r"&.*?;", r"http\S+", r"\d+", r"_+", r"\.", "-", r"[\[|\]]",
+]
 
 
 def clean(text):
-    for pattern in (r"doi:.*?\s", r"<.*?>", r"&.*?;", r"http\S+", r"\d+", r"_+", r"\.", "-", r"[\[|\]]"):
+    for pattern in CLEAN_UP:
         text = re.sub(pattern, "", text)
     return text
 

@@ -3,7 +3,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from reference_model import dominant as model
+from plain_model import dominant as model
 
 from refsieve.operators import gating
 from refsieve.operators import tokens as tk

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from reference_model import clean
+from plain_model import clean
 
 from refsieve.functions import text as tx
 from refsieve.functions import works as wx

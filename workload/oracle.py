@@ -11,7 +11,6 @@ from functools import cache
 import pyspark
 
 from refsieve import fixed_values as fx
-from refsieve.plans import reports
 from refsieve.plans.prepare import COUNTS
 
 WORD = r"[\p{L}\p{N}_]"
@@ -326,8 +325,8 @@ def query(name: str, needs: list[str], sql: str) -> None:
     SELECTS[name] = (needs, sql)
 
 
-OFTEN = " OR ".join(f"{c} >= {{0}}" for c in reports.BY_ISSN_AND_TITLE)
-ARTICLES = columns(reports.ARTICLE_COLUMNS)
+OFTEN = " OR ".join(f"{c} >= {{0}}" for c in fx.BY_ISSN_AND_TITLE)
+ARTICLES = columns(fx.ARTICLE_COLUMNS)
 N_REFS = "coalesce(n_refs, 0)"
 
 query("read_snapshot", ["works"], """
@@ -350,7 +349,7 @@ REPEATED = f"""
 SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY title) AS n FROM results
   WHERE work_type = 'journal-article' AND title <> '' AND title NOT IN ({listed(fx.STOP_TITLES)}))
 WHERE n > 1"""
-query("report_round_trip", ["results"], f"SELECT {columns(reports.DUPLICATE_COLUMNS)} FROM ({REPEATED})")
+query("report_round_trip", ["results"], f"SELECT {columns(fx.DUPLICATE_COLUMNS)} FROM ({REPEATED})")
 query("min_refs", ["works"], 'SELECT doi AS "DOI", n_refs AS n_references FROM works WHERE n_refs > 25')
 query("processable_refs", ["proc"], """
 SELECT '10.5555/' || doc_id AS "DOI", i AS ref_idx, ref_type, text FROM proc""")
@@ -375,7 +374,7 @@ SELECT doi AS "DOI", work_type AS type, member, '10.5555' AS prefix, cited_by FR
 query("deposited_year", [], """
 SELECT '10.5555/' || doc_id AS "DOI", 2000 + doc_id % 25 AS deposited_year FROM documents""")
 query("article_layout", ["prepared"], "SELECT " + headed(
-    [c for c in reports.ARTICLE_COLUMNS if c != "token_counts_by_container_title"],
+    [c for c in fx.ARTICLE_COLUMNS if c != "token_counts_by_container_title"],
     fx.ARTICLE_HEADINGS) + " FROM prepared WHERE work_type = 'journal-article'")
 query("report_nulls", ["results"], f"""
 SELECT "DOI", coalesce(title, '{fx.MISSING}') AS title,
@@ -468,7 +467,7 @@ part("unflagged", ["prepared"], f"""
 SELECT * FROM prepared WHERE work_type = 'journal-article' AND flag = 'No'
   AND ({OFTEN.format(2)})""")
 query("most_common_tokens", ["unflagged"], "SELECT DISTINCT separated_tokens FROM unflagged WHERE " +
-      " OR ".join(f"{c} = (SELECT max({c}) FROM unflagged)" for c in reports.BY_ISSN_AND_TITLE))
+      " OR ".join(f"{c} = (SELECT max({c}) FROM unflagged)" for c in fx.BY_ISSN_AND_TITLE))
 query("token_list", ["results"], """
 SELECT DISTINCT separated_tokens FROM results WHERE separated_tokens <> 'Autoren'""")
 query("fraction_distribution", ["results"], """
@@ -509,7 +508,7 @@ SELECT {ARTICLES} FROM prepared
 WHERE work_type = 'journal-article' AND flag = '{flag}' AND ({OFTEN.format(10)})""")
 query("unflagged_people", ["unflagged", "people"], f"""
 SELECT {ARTICLES} FROM unflagged WHERE separated_tokens IN (SELECT name FROM people)""")
-query("duplicate_titles", ["results"], f"SELECT {columns(reports.DUPLICATE_COLUMNS)} FROM ({REPEATED})")
+query("duplicate_titles", ["results"], f"SELECT {columns(fx.DUPLICATE_COLUMNS)} FROM ({REPEATED})")
 part("done", ["prepared", "people"], f"""
 SELECT "DOI" FROM prepared WHERE work_type = 'journal-article' AND ({OFTEN.format(10)})
   AND (flag = 'Yes' OR separated_tokens IN (SELECT name FROM people))""")
@@ -521,9 +520,9 @@ SELECT "DOI", title, container_title FROM (
   WHERE work_type = 'journal-article' AND title IS DISTINCT FROM ''
     AND "DOI" NOT IN (SELECT "DOI" FROM done)) WHERE n > 1""")
 query("books", ["results"], f"""
-SELECT {columns(reports.BOOK_COLUMNS)} FROM results WHERE work_type = 'book'""")
+SELECT {columns(fx.BOOK_COLUMNS)} FROM results WHERE work_type = 'book'""")
 CHAPTERS = f"""
-SELECT {columns(reports.CHAPTER_COLUMNS)} FROM (SELECT *, {FLAGS} FROM results)
+SELECT {columns(fx.CHAPTER_COLUMNS)} FROM (SELECT *, {FLAGS} FROM results)
 WHERE work_type = 'book-chapter'"""
 query("book_chapters", ["results"], CHAPTERS)
 query("titled_not_authored", ["results"], f"""
@@ -534,7 +533,7 @@ for name, kind in (
     ("other_works", "other"),
 ):
     query(name, ["results"], f"""
-SELECT {columns(reports.WORK_TYPE_COLUMNS[kind])} FROM results WHERE work_type = '{kind}'""")
+SELECT {columns(fx.WORK_TYPE_COLUMNS[kind])} FROM results WHERE work_type = '{kind}'""")
 query("unequal_lengths", ["results"], """
 SELECT "DOI", total_processed_ref_len, cleaned_references_length,
   total_processed_ref_len <> cleaned_references_length AS unequal FROM results""")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from refsieve.fixed_values import STOP_TITLES
+from refsieve.fixed_values import ARTICLE_COLUMNS, SIMILAR_TITLE_COLUMNS, STOP_TITLES
 from refsieve.functions import text as tx
 from refsieve.functions import works as wx
 from refsieve.operators import (
@@ -208,7 +208,7 @@ def deposited_year(spark, sf):
 
 def article_layout(spark, sf):
     frame = reports.journal_articles(prepared(spark, sf))
-    columns = [c for c in reports.ARTICLE_COLUMNS if c != "token_counts_by_container_title"]
+    columns = [c for c in ARTICLE_COLUMNS if c != "token_counts_by_container_title"]
     return flat(reports.shape_report(frame, columns))
 
 
@@ -732,7 +732,7 @@ def title_members(spark, sf):
 
 
 def similar_title_report(spark, sf):
-    articles = stored(_articles(spark, sf).select(titles.ARTICLE_FIELDS), "articles")
+    articles = stored(_articles(spark, sf).select(SIMILAR_TITLE_COLUMNS), "articles")
     cleaned_titles = titles.clean_titles(articles, STOP_TITLES)
     pairs = stored(tfidf.tfidf_pairs(cleaned_titles.filter(F.col("title") != "")), "title-pairs")
     return flat(titles.similar_title_report(articles, pairs))

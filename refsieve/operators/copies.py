@@ -2,6 +2,7 @@
 
 Similarity joins run on distinct values. A pair row stands for ``n1 * n2`` pairs of works, and a
 value with ``n`` works gets one row with itself that stands for its ``n * (n - 1) / 2`` pairs.
+The input has one row per work, as ``plans.titles.clean_titles`` leaves it.
 ``members`` says which works are behind an id, so nothing is lost and no group is ever paired
 out.
 """

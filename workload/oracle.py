@@ -208,7 +208,7 @@ def count_window(keys: list[str]) -> str:
 part("prepared", ["results"], "SELECT *, " + ", ".join(
     f"{count_window(keys)} AS {name}" for name, keys in COUNTS.items()) + " FROM results")
 part("titled", ["works"], """
-SELECT doi AS id, title FROM works WHERE title <> ''""")
+SELECT doi AS id, max(title) AS title FROM works WHERE title <> '' GROUP BY doi""")
 
 
 def pair_parts(prefix: str, source: str) -> None:
@@ -630,12 +630,15 @@ JOIN groups x ON x.id = id1 JOIN groups y ON y.id = id2""")
 # bytes stand for characters without changing any distance.
 ACCENTED = "éÉßÇèñÑÊíêüÖÍÜÈöÓçäÄóàâîôûœæ"
 BYTES = " || ".join(f"chr({n})" for n in [*range(1, 9), *range(11, 11 + len(ACCENTED) - 8)])
-query("edit_pairs", ["groups"], f"""
+# The swap distance of SQL also allows edits inside a swapped pair. That matters only where two
+# letters are swapped and another is put between them, which no pair of these titles needs.
+for name, function in (("edit_pairs", "levenshtein"), ("swap_edit_pairs", "damerau_levenshtein")):
+    query(name, ["groups"], f"""
 WITH plain AS (SELECT id, copies, length(value) AS size,
   translate(value, '{ACCENTED}', {BYTES}) AS value FROM groups)
 SELECT id1, id2, round(score, 6) AS score, n_pairs FROM (
   SELECT a.id AS id1, b.id AS id2, a.copies * b.copies AS n_pairs,
-    1 - levenshtein(a.value, b.value) / greatest(a.size, b.size) AS score
+    1 - {function}(a.value, b.value) / greatest(a.size, b.size) AS score
   FROM plain a JOIN plain b ON a.id < b.id
     AND least(a.size, b.size) >= 0.8 * greatest(a.size, b.size) - 1e-9)
 WHERE score >= 0.8 - 1e-9

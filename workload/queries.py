@@ -57,9 +57,9 @@ def stop_words(spark, sf):
 
 
 def first_titles(spark, sf):
-    """``DOI, title`` of all works that have a title."""
+    """``DOI, title`` of all works that have a title, one row per DOI."""
     titled = views.works(spark, sf).select("DOI", wx.first_title(F.col("title")).alias("title"))
-    return titled.filter(F.col("title") != "")
+    return titled.filter(F.col("title") != "").groupBy("DOI").agg(F.max("title").alias("title"))
 
 
 def _version(sf):
@@ -116,12 +116,11 @@ def read_snapshot(spark, sf):
 def read_items(spark, sf):
     path = _scratch(spark, "items")
     works = views.works(spark, sf)
-    number = F.substring_index("DOI", "/", -1).cast("long")
     document = F.to_json(F.struct(F.collect_list(F.struct(*works.columns)).alias("items")))
-    # A document holds the works of a hundred consecutive ids.
-    works.groupBy(F.floor(number / 100).alias("part")).agg(document.alias("value")).write.partitionBy(
-        "part"
-    ).text(path)
+    # A document holds a hundred rows of one partition, whatever their keys.
+    numbered = works.withColumn("part", F.floor(F.monotonically_increasing_id() / 100))
+    documents = numbered.groupBy("part").agg(document.alias("value"))
+    documents.write.partitionBy("part").text(path)
     return flat(
         snapshot.read_items(spark, path).select(
             "DOI", "type", "member", F.coalesce(F.array_size("reference"), F.lit(0)).alias("n_references")

@@ -219,3 +219,20 @@ def test_journal_report_fills_unknown_journals(spark):
         "J1": (3, "One", "0", "None found"),
         "J2": (3, "None found", "None found", "None found"),
     }
+
+
+def test_hot_keys_are_counted_without_broadcasts(spark):
+    keys = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 != 1, F.col("id").cast("string"))
+    frame = spark.range(3000).select(F.col("id").cast("string").alias("DOI"), keys.alias("k"))
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for setting in settings:
+        spark.conf.set(setting, "-1")
+    try:
+        counted = grouping.count_over(frame, ["k"], "n").groupBy("n").count().collect()
+        duplicated = grouping.keep_duplicated(frame, "k").count()
+    finally:
+        for setting in settings:
+            spark.conf.unset(setting)
+    nulls = sum(i % 3 != 0 and i % 50 == 1 for i in range(3000))
+    assert {r["n"]: r["count"] for r in counted} == {1000: 1000, 1: 2000 - nulls, None: nulls}
+    assert duplicated == 1000 + nulls

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import glob
 import html.entities
-import os
-import zipfile
 from functools import cache
 
-import pyspark
+from pyspark.sql import SparkSession
 
 from refsieve import fixed_values as fx
+from refsieve.operators import tokens
 from refsieve.plans.prepare import COUNTS
 
 WORD = r"[\p{L}\p{N}_]"
@@ -80,14 +78,9 @@ def visible(expr: str) -> str:
 
 @cache
 def language_words() -> list[str]:
-    """Stop words as they lie in the Spark distribution."""
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar")
-    words = []
-    with zipfile.ZipFile(glob.glob(jars)[0]) as jar:
-        for language in fx.STOP_LANGUAGES:
-            name = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
-            words += jar.read(name).decode("utf-8").splitlines()
-    return words
+    """Stop words of the running session, which is started when there is none."""
+    SparkSession.builder.getOrCreate()
+    return tokens.language_words()
 
 
 @cache
@@ -675,7 +668,7 @@ def statement(needs: list[str], sql: str) -> str:
     if parts and inner.startswith("WITH "):
         inner = ", " + inner[len("WITH "):]
     text = ("WITH " + ",\n".join(parts) + "\n" if parts else "") + inner
-    return text.replace("@STOP@", stop_rows())
+    return text.replace("@STOP@", stop_rows()) if "@STOP@" in text else text
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from refsieve.llm import bpe
+from refsieve.llm import bpe, secrets
 from refsieve.llm.common import table
 
 
+def op6_secrets(spark, sf_dir):
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark, sf_dir):
     content = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.digest_documents(table(spark, sf_dir, "documents"), content, public_tokenizers.PATTERN)
 
 
 QUERIES = {
+    "op6_secrets": op6_secrets,
     "op8_bpe": op8_bpe,
 }
 

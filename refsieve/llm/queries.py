@@ -4,10 +4,32 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from refsieve.llm import bpe, secrets
+from refsieve.llm import bpe, secrets, topk
 from refsieve.llm.common import table
 
 
+def op2_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+OP2 = """
+WITH whole AS (
+  SELECT row_number() OVER () AS row_no, vec_id,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.row_no, q.vec_id AS query_id, c.vec_id,
+    list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.row_no <> c.row_no
+)
+SELECT query_id, vec_id, score,
+  (row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id NULLS LAST))::INTEGER AS rank
+FROM scored
+QUALIFY rank <= 5"""
+
+
 def op6_secrets(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -18,8 +40,11 @@ def op8_bpe(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_topk": op2_topk,
     "op6_secrets": op6_secrets,
     "op8_bpe": op8_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_topk": OP2,
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from refsieve.llm import bpe, secrets, topk
+from refsieve.llm import bpe, rules, secrets, topk
 from refsieve.llm.common import table
 
 
@@ -30,6 +30,11 @@ FROM scored
 QUALIFY rank <= 5"""
 
 
+def op3_quality_rules(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return rules.apply_rules(docs, rules.fit(docs, labels))
+
+
 def op6_secrets(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ def op8_bpe(spark, sf_dir):
 
 QUERIES = {
     "op2_topk": op2_topk,
+    "op3_quality_rules": op3_quality_rules,
     "op6_secrets": op6_secrets,
     "op8_bpe": op8_bpe,
 }

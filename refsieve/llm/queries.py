@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from refsieve.llm import bpe, rules, secrets, topk
+from refsieve.llm import bpe, mixing, rules, secrets, topk
 from refsieve.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op6_secrets(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark, sf_dir):
+    return mixing.Mix(table(spark, sf_dir, "documents")).report()
+
+
 def op8_bpe(spark, sf_dir):
     content = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.digest_documents(table(spark, sf_dir, "documents"), content, public_tokenizers.PATTERN)
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_topk": op2_topk,
     "op3_quality_rules": op3_quality_rules,
     "op6_secrets": op6_secrets,
+    "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
 }
 

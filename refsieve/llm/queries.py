@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from refsieve.llm import bpe, mixing, rules, secrets, topk
+from refsieve.llm import bpe, mixing, rules, secrets, simhash, topk
 from refsieve.llm.common import table
 
 
@@ -48,12 +48,17 @@ def op8_bpe(spark, sf_dir):
     return bpe.digest_documents(table(spark, sf_dir, "documents"), content, public_tokenizers.PATTERN)
 
 
+def op10_simhash(spark, sf_dir):
+    return simhash.near_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_topk": op2_topk,
     "op3_quality_rules": op3_quality_rules,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE: dict[str, str] = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from refsieve.llm import bpe, mixing, rules, secrets, simhash, topk
+from refsieve.llm import bpe, mixing, rules, secrets, simhash, substrings, topk
 from refsieve.llm.common import table
 
 
@@ -48,6 +48,35 @@ def op8_bpe(spark, sf_dir):
     return bpe.digest_documents(table(spark, sf_dir, "documents"), content, public_tokenizers.PATTERN)
 
 
+def op9_substrings(spark, sf_dir):
+    return substrings.without_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+OP9 = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row_no, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), windows AS (
+  SELECT row_no, i, array_to_string(words[i:i + 34], ' ') AS run
+  FROM texts, unnest(range(1, greatest(len(words) - 33, 1))) AS t(i)
+  WHERE len(words) >= 35
+), repeated AS (
+  SELECT row_no, i FROM windows
+  QUALIFY count(*) OVER (PARTITION BY run) > 1
+), gone AS (
+  SELECT DISTINCT row_no, i + j AS at FROM repeated, unnest(range(35)) AS t(j)
+), places AS (
+  SELECT row_no, list(at) AS at FROM gone GROUP BY row_no
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(at), 0)::BIGINT AS n_removed,
+  sha256(coalesce(CASE WHEN at IS NULL THEN array_to_string(words, ' ') ELSE (
+    SELECT string_agg(w, ' ' ORDER BY i)
+    FROM (SELECT unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i)
+    WHERE NOT list_contains(at, i)) END, '')) AS kept_sha256
+FROM texts LEFT JOIN places USING (row_no)""".replace("\\", "\")
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.near_report(table(spark, sf_dir, "documents"))
 
@@ -58,9 +87,11 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
+    "op9_substrings": op9_substrings,
     "op10_simhash": op10_simhash,
 }
 
 ORACLE: dict[str, str] = {
     "op2_topk": OP2,
+    "op9_substrings": OP9,
 }

@@ -65,16 +65,16 @@ WITH texts AS (
   SELECT row_no, i FROM windows
   QUALIFY count(*) OVER (PARTITION BY run) > 1
 ), gone AS (
-  SELECT DISTINCT row_no, i + j AS at FROM repeated, unnest(range(35)) AS t(j)
+  SELECT DISTINCT row_no, i + j AS place FROM repeated, unnest(range(35)) AS t(j)
 ), places AS (
-  SELECT row_no, list(at) AS at FROM gone GROUP BY row_no
+  SELECT row_no, list(place) AS gone_places FROM gone GROUP BY row_no
 )
-SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(at), 0)::BIGINT AS n_removed,
-  sha256(coalesce(CASE WHEN at IS NULL THEN array_to_string(words, ' ') ELSE (
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone_places), 0)::BIGINT AS n_removed,
+  sha256(coalesce(CASE WHEN gone_places IS NULL THEN array_to_string(words, ' ') ELSE (
     SELECT string_agg(w, ' ' ORDER BY i)
     FROM (SELECT unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i)
-    WHERE NOT list_contains(at, i)) END, '')) AS kept_sha256
-FROM texts LEFT JOIN places USING (row_no)""".replace("\\", "\")
+    WHERE NOT list_contains(gone_places, i)) END, '')) AS kept_sha256
+FROM texts LEFT JOIN places USING (row_no)"""
 
 
 def op10_simhash(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from refsieve.llm import bpe, mixing, rules, secrets, simhash, substrings, topk
+from refsieve.llm import bpe, lattice, mixing, rules, secrets, simhash, substrings, topk
 from refsieve.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op3_quality_rules(spark, sf_dir):
     return rules.apply_rules(docs, rules.fit(docs, labels))
 
 
+def op5_lattice_lm(spark, sf_dir):
+    pieces = lattice.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return lattice.score_documents(table(spark, sf_dir, "documents"), pieces)
+
+
 def op6_secrets(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ def op10_simhash(spark, sf_dir):
 QUERIES = {
     "op2_topk": op2_topk,
     "op3_quality_rules": op3_quality_rules,
+    "op5_lattice_lm": op5_lattice_lm,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from refsieve.llm import bpe, lattice, mixing, rules, secrets, simhash, substrings, topk
+from refsieve.llm import bpe, compression, lattice, mixing, rules, secrets, simhash, substrings, topk
 from refsieve.llm.common import table
 
 
+def op1_compression_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return compression.score_quality(docs, compression.fit(docs, labels))
+
+
 def op2_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
@@ -87,6 +92,7 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_compression_quality": op1_compression_quality,
     "op2_topk": op2_topk,
     "op3_quality_rules": op3_quality_rules,
     "op5_lattice_lm": op5_lattice_lm,

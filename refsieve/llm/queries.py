@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from refsieve.llm import bpe, compression, lattice, mixing, rules, secrets, simhash, substrings, topk
+from refsieve.llm import bpe, compression, langid, lattice, mixing, rules, secrets, simhash, substrings, topk
 from refsieve.llm.common import table
 
 
@@ -40,6 +40,11 @@ def op3_quality_rules(spark, sf_dir):
     return rules.apply_rules(docs, rules.fit(docs, labels))
 
 
+def op4_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, *langid.fit(docs))
+
+
 def op5_lattice_lm(spark, sf_dir):
     pieces = lattice.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     return lattice.score_documents(table(spark, sf_dir, "documents"), pieces)
@@ -95,6 +100,7 @@ QUERIES = {
     "op1_compression_quality": op1_compression_quality,
     "op2_topk": op2_topk,
     "op3_quality_rules": op3_quality_rules,
+    "op4_langid": op4_langid,
     "op5_lattice_lm": op5_lattice_lm,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,

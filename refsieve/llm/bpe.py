@@ -19,6 +19,7 @@ from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from refsieve.llm.common import mapped, texts_only
 
@@ -313,3 +314,23 @@ def digest_documents(docs: DataFrame, content: bytes, pattern: str) -> DataFrame
         texts_only(docs), "text", run,
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
     )
+
+
+def encoded_rows(docs: DataFrame, content: bytes, pattern: str) -> DataFrame:
+    """``doc_id, source, tokens, n_tokens, exact`` of every row; ``exact``: the tokens give the text back."""
+
+    def run(step: pa.RecordBatch) -> dict:
+        tool = codec(content, pattern)
+        texts = [text or "" for text in step.column("text").to_pylist()]
+        tokens = [tool.encode(text) for text in texts]
+        return {
+            "doc_id": step.column("doc_id"), "source": step.column("source"),
+            "tokens": pa.array(tokens, pa.list_(pa.int32())),
+            "n_tokens": pa.array([len(t) for t in tokens], pa.int64()),
+            "exact": pa.array([tool.decode(t) == text for t, text in zip(tokens, texts)], pa.bool_()),
+        }
+
+    return mapped(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"),
+        "text", run, "doc_id long, source string, tokens array<int>, n_tokens long, exact boolean",
+    )

@@ -18,14 +18,17 @@ one id are documents of their own.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from refsieve.llm.common import WORD
+from refsieve.llm.common import WORD, steps
 from refsieve.session import stored
 
 WEIGHTS = (3, 1, 2)
@@ -149,8 +152,9 @@ def _ranges(times: np.ndarray, block: int, start: int, end: int) -> list[list[in
 
 def _sized(docs: DataFrame) -> DataFrame:
     """Slim rows: row number, id, source and size of each document."""
+    row = F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
     return docs.select(
-        F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"),
+        row.alias("__row"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("__name"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
@@ -225,3 +229,40 @@ class Mix:
             lambda group: _select(group, block, cap, seed, True),
             "__row long, taken long, ranges array<array<long>>",
         )
+
+
+def _cut(text: str | None, ranges) -> list[tuple[int, str]]:
+    """The taken words of a text, per pass, stretches joined by line feeds."""
+    places = [m.span() for m in re.finditer(WORD, text or "")]
+    passes: dict[int, list[str]] = {}
+    for turn, first, end in ranges:
+        passes.setdefault(int(turn), []).append(text[places[first][0]: places[end - 1][1]])
+    return [(turn, "\n".join(parts)) for turn, parts in sorted(passes.items())]
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """Documents of the mix, with all columns of ``docs``: a row per pass that takes words of one.
+
+    A pass that takes a whole document gives its text as it is, others the taken stretches.
+    ``docs`` must be a stored table, which reads the same each time.
+    """
+    names = docs.columns
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    taken = Mix(numbered).ranges().filter("taken > 0").select("__row", "ranges")
+    schema = T.StructType([T.StructField("__pass", T.IntegerType()), *docs.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps(batches):
+            owner, turns, texts = [], [], []
+            for i, (text, ranges) in enumerate(
+                zip(step.column("text").to_pylist(), step.column("ranges").to_pylist())
+            ):
+                for turn, cut in _cut(text, ranges):
+                    owner.append(i)
+                    turns.append(turn)
+                    texts.append(cut)
+            rows = step.select(names).take(pa.array(owner, pa.int64()))
+            columns = [pa.array(texts, rows.schema.field(n).type) if n == "text" else rows.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([pa.array(turns, pa.int32()), *columns], ["__pass", *names])
+
+    return numbered.join(taken, "__row").drop("__row").mapInArrow(run, schema).select(*names)

@@ -13,6 +13,7 @@ both kinds there are no trees, and the base rule decides alone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.llm.common import Words, mapped, split_of, words_of
+from refsieve.llm.common import Words, mapped, split_of, steps, words_of
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -283,3 +284,18 @@ def apply_rules(docs: DataFrame, trees: Trees | None) -> DataFrame:
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
         "n_repeat_words long, base_failed boolean, score double, kept boolean",
     )
+
+
+def kept_documents(docs: DataFrame, trees: Trees | None) -> DataFrame:
+    """The rows of ``docs``, with all columns, that the rules keep."""
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps(batches):
+            found = statistics(step.column("text"))
+            n = found["n_words"]
+            failed = (n < MIN_WORDS) | (100 * found["n_repeat_words"] > 30 * n)
+            score = trees.probability(found["features"]) if trees else np.ones(len(n))
+            yield step.filter(pa.array(~failed & (score > 1 - REJECT_AT)))
+
+    return docs.mapInArrow(run, schema)

@@ -41,6 +41,8 @@ from refsieve.session import stored
 
 BITS, SEED = 64, 42
 SHINGLE, RADIUS = 3, 2
+# Words of a shingle where near-copies are dropped.
+WORDS_ALIKE = 5
 # Fingerprints of a bucket that one task compares; of a leaf.
 BUCKET_ROWS, LEAF = 4_096, 32
 
@@ -297,18 +299,52 @@ def _cells(chunked: DataFrame, radius: int) -> DataFrame:
     ).select("band", "part", "i", "j")
 
 
-def near_groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row: its fingerprint and the least id of its group."""
-    rows = stored(fingerprint_table(docs, width), "fingerprints")
+def _groups(rows: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
+    """``fp, least, root, component_id`` of each distinct fingerprint of ``rows`` (``doc_id, fp``)."""
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(fingerprint_links(distinct.select("fp"), radius, bucket_rows))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
+    return rooted.join(named, "root")
+
+
+def near_groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``doc_id, fp, component_id`` of every row: its fingerprint and the least id of its group."""
+    rows = stored(fingerprint_table(docs, width), "fingerprints")
+    groups = _groups(rows, radius, bucket_rows).select("fp", "component_id")
     return rows.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_per_group(
+    docs: DataFrame, width: int = WORDS_ALIKE, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """One row of each group of near-copies, with all columns of ``docs``.
+
+    It is the row with the least id (none last), of several the one that the scan reads first. Only
+    rows' places, ids and fingerprints are shuffled; ``docs`` must be a stored table, which reads
+    the same each time.
+    """
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    slim = numbered.select("__row", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = stored(
+        mapped(
+            slim, "text",
+            lambda step: {
+                "__row": step.column("__row"), "doc_id": step.column("doc_id"),
+                "fp": fingerprints(step.column("text"), width).view(np.int64),
+            },
+            "__row long, doc_id long, fp long",
+        ),
+        "fingerprints",
+    )
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")
+    first = rows.groupBy("fp").agg(F.min(order).alias("first"))
+    groups = _groups(rows, radius, bucket_rows).select("fp", "root")
+    kept = first.join(groups, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.__row")
+    return numbered.join(kept, "__row", "left_semi").drop("__row")
+
+
 def near_report(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` with the fingerprint as 16 hexadecimal digits."""
     return near_groups(docs, width, radius).select(

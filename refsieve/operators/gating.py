@@ -73,10 +73,10 @@ def processable_array(
 
 
 def processable_refs(
-    df: DataFrame, prefer: str = UNSTRUCTURED, cut: int = TEXT_CUT
+    df: DataFrame, prefer: str = UNSTRUCTURED, cut: int = TEXT_CUT, key: str = "DOI"
 ) -> DataFrame:
-    """One row per processable reference: ``DOI, ref_idx, ref_type, text``."""
-    return df.select("DOI", F.inline(processable_array(F.col("reference"), prefer, cut)))
+    """One row per processable reference: ``key, ref_idx, ref_type, text``."""
+    return df.select(key, F.inline(processable_array(F.col("reference"), prefer, cut)))
 
 
 def percentage(part: Column, whole: Column) -> Column:

@@ -9,7 +9,7 @@ from refsieve.functions import text
 from refsieve.functions.gate import passing
 from refsieve.operators.copies import collapse, copy_pairs, counted_pairs, titled_pairs
 from refsieve.operators.prefix_join import candidate_pairs, with_both
-from refsieve.session import spread, stored
+from refsieve.session import stored
 
 # Slack on squared norms, so that rounding never shortens a prefix.
 SLACK = 1e-9
@@ -22,7 +22,7 @@ def _weighted_terms(groups: DataFrame) -> DataFrame:
     smoothed: ``ln((1 + n) / (1 + df)) + 1``.
     """
     bag = (
-        spread(groups)
+        groups
         .select("id", "copies", F.explode(text.terms(F.col("value"))).alias("term"))
         .groupBy("id", "copies", "term")
         .agg(F.count("*").alias("tf"))

@@ -1,8 +1,8 @@
 """Tokens of references as rows: stop words, counts, dominant token, coverage.
 
 The operators here work on long tables and shuffle by work and token. ``refsieve.plans.dominant``
-answers the same question inside each row and needs no shuffle; it falls back to these operators
-when the stop table is too large to ship as a literal set.
+answers the same question inside each row and needs no shuffle. ``key`` names the column that tells
+works apart; where several rows have one ``DOI``, give each row a key of its own.
 """
 
 from __future__ import annotations
@@ -57,23 +57,32 @@ def stop_table(
     return result.distinct() if ignore is not None else result
 
 
-def cleaned_refs(refs: DataFrame) -> DataFrame:
+def stop_lists(stop: DataFrame) -> dict[str, list[str]]:
+    """A stop table as sorted lists per reference type. Stop words are lists to begin with."""
+    rows = stop.distinct().collect()
+    return {
+        kind: sorted(r["word"] for r in rows if r["ref_type"] == kind)
+        for kind in (UNSTRUCTURED, AUTHORS)
+    }
+
+
+def cleaned_refs(refs: DataFrame, key: str = "DOI") -> DataFrame:
     """Clean processable references once more and drop those that have no token left."""
     kept = passing(text.clean_reference(F.col("text")), text.has_token)
-    return refs.select("DOI", "ref_idx", "ref_type", kept.alias("text"))
+    return refs.select(key, "ref_idx", "ref_type", kept.alias("text"))
 
 
-def reference_tokens(refs: DataFrame) -> DataFrame:
+def reference_tokens(refs: DataFrame, key: str = "DOI") -> DataFrame:
     """One row per token occurrence: ``DOI, ref_idx, ref_type, token, first``.
 
     ``first`` marks the first occurrence within its reference, so that references can later be
     counted by a plain sum instead of a distinct count with a shuffle of its own.
     """
     found = refs.select(
-        "DOI", "ref_idx", "ref_type", once(text.tokenize(F.col("text")).alias("tokens"))
+        key, "ref_idx", "ref_type", once(text.tokenize(F.col("text")).alias("tokens"))
     )
     return found.select("*", F.posexplode("tokens").alias("pos", "token")).select(
-        "DOI",
+        key,
         "ref_idx",
         "ref_type",
         "token",
@@ -99,32 +108,32 @@ def remove_stopwords(
     return tokens.join(words, matches, "left_anti")
 
 
-def token_counts(tokens: DataFrame) -> DataFrame:
+def token_counts(tokens: DataFrame, key: str = "DOI") -> DataFrame:
     """Occurrences and references per work and token.
 
     The references of a work come from one input row, so all its counts are combined before the
     one shuffle.
     """
-    return tokens.groupBy("DOI", "token").agg(
+    return tokens.groupBy(key, "token").agg(
         F.count("*").alias("token_count"), F.count_if("first").alias("reference_count")
     )
 
 
-def dominant_tokens(counts: DataFrame) -> DataFrame:
+def dominant_tokens(counts: DataFrame, key: str = "DOI") -> DataFrame:
     """Token(s) of each work with the most references, then the most occurrences; ties all kept.
 
     Spark limits ``rank() = 1`` before the shuffle by work, so only tokens that lead within their
     task are sent.
     """
-    by_work = Window.partitionBy("DOI").orderBy(F.desc("reference_count"), F.desc("token_count"))
+    by_work = Window.partitionBy(key).orderBy(F.desc("reference_count"), F.desc("token_count"))
     leading = counts.withColumn("_rank", F.rank().over(by_work)).filter(F.col("_rank") == 1)
-    return leading.groupBy("DOI", "reference_count", "token_count").agg(
+    return leading.groupBy(key, "reference_count", "token_count").agg(
         F.sort_array(F.collect_list("token")).alias("token_vocabulary")
     )
 
 
-def cleaned_lengths(cleaned: DataFrame) -> DataFrame:
-    return cleaned.groupBy("DOI").agg(F.count("*").alias("cleaned_references_length"))
+def cleaned_lengths(cleaned: DataFrame, key: str = "DOI") -> DataFrame:
+    return cleaned.groupBy(key).agg(F.count("*").alias("cleaned_references_length"))
 
 
 def token_fraction(
@@ -132,6 +141,7 @@ def token_fraction(
     lengths: DataFrame,
     min_fraction: float = MIN_FRACTION,
     min_cleaned: int = MIN_PROCESSABLE,
+    key: str = "DOI",
 ) -> DataFrame:
     """Share of cleaned references the dominant token covers, kept from ``min_fraction`` up.
 
@@ -140,7 +150,7 @@ def token_fraction(
     lengths = lengths.filter(F.col("cleaned_references_length") >= min_cleaned)
     share = F.col("reference_count") / F.col("cleaned_references_length")
     return (
-        dominant.join(lengths, "DOI")
+        dominant.join(lengths, key)
         .filter(share >= min_fraction)
         .withColumn("token_frac_refs", share.cast("float"))
     )

@@ -12,26 +12,11 @@ from pyspark.sql import functions as F
 
 from refsieve.functions import text, works
 from refsieve.functions.gate import once, passing
-from refsieve.operators import gating, tokens as token_ops
+from refsieve.operators import gating
 from refsieve.operators.gating import AUTHORS, MIN_PROCESSABLE, UNSTRUCTURED
 from refsieve.operators.tokens import MIN_FRACTION
 from refsieve.schema import RESULT
 
-# Largest stop table that is shipped inside the plan as a literal set.
-MAX_LITERAL_WORDS = 20_000
-
-
-def _literal_words(stop: DataFrame, limit: int) -> dict[str, list[str]] | None:
-    """The stop table as lists, or None when it holds more than ``limit`` words."""
-    rows = stop.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return {
-        kind: sorted(r["word"] for r in rows if r["ref_type"] == kind)
-        for kind in (UNSTRUCTURED, AUTHORS)
-    }
-
-
 def _literal_set(words: list[str]) -> str:
     quoted = [word.replace("\\", "\\\\").replace("'", "\\'") for word in words]
     return ", ".join(f"'{word}'" for word in quoted) or "NULL"
@@ -134,40 +119,23 @@ def _result(df: DataFrame) -> DataFrame:
     ).select(RESULT.fieldNames())
 
 
-def _by_rows(gated: DataFrame, words: dict[str, list[str]], min_fraction: float) -> DataFrame:
-    scored = _vocabulary(_scored(gated, words, min_fraction))
-    return _result(
-        scored.withColumn("cleaned_references_length", F.array_size("cleaned")).withColumnRenamed(
-            "fraction", "token_frac_refs"
-        )
-    )
-
-
-def _by_joins(gated: DataFrame, stop: DataFrame, min_fraction: float) -> DataFrame:
-    """The same answer from long tables; works are told apart by ``DOI``."""
-    cleaned = token_ops.cleaned_refs(gated.select("DOI", F.inline("proc_refs")))
-    kept = token_ops.remove_stopwords(token_ops.reference_tokens(cleaned), stop)
-    dominant = token_ops.dominant_tokens(token_ops.token_counts(kept))
-    scored = token_ops.token_fraction(dominant, token_ops.cleaned_lengths(cleaned), min_fraction)
-    return _result(gated.join(scored, "DOI"))
-
-
 def dominant_token_works(
     works_df: DataFrame,
-    stop: DataFrame,
+    stop: dict[str, list[str]],
     min_fraction: float = MIN_FRACTION,
     min_refs: int = gating.MIN_REFERENCES,
-    max_literal_words: int = MAX_LITERAL_WORDS,
 ) -> DataFrame:
     """Works whose most frequent reference token covers at least ``min_fraction`` of them.
 
-    The stop table is read first: up to ``max_literal_words`` words become literal sets and the
-    whole job runs inside the scan's tasks; a larger table is anti-joined instead.
+    ``stop`` holds the stop words per reference type, as ``tokens.stop_lists`` gives them; they
+    become literal sets. Every row of ``works_df`` is a work, whatever its ``DOI``.
     """
     gated = gating.project_work(
         gating.with_processable_share(gating.with_min_refs(works_df, min_refs))
     )
-    words = _literal_words(stop, max_literal_words)
-    if words is None:
-        return _by_joins(gated, stop, min_fraction)
-    return _by_rows(gated, words, min_fraction)
+    scored = _vocabulary(_scored(gated, stop, min_fraction))
+    return _result(
+        scored.withColumn("cleaned_references_length", F.array_size("cleaned")).withColumnRenamed(
+            "fraction", "token_frac_refs"
+        )
+    )

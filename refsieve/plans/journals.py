@@ -89,10 +89,14 @@ def unique_journals(journals: DataFrame) -> DataFrame:
 
 
 def with_journal_info(journals: DataFrame, info: DataFrame) -> DataFrame:
-    """Add title and total DOI count from the journals table by ISSN, electronic first."""
+    """Add title and total DOI count from the journals table by ISSN, electronic first.
+
+    Of several rows of an ISSN the one with the most DOIs counts, then the greatest title.
+    """
     issn = F.coalesce(F.nullif("electronic_issn", F.lit("")), F.nullif("print_issn", F.lit("")))
-    info = info.select(
-        F.col("issn").alias("_issn"), F.col("title").alias("journal_title"), "total_dois"
+    best = F.max(F.struct("total_dois", "title")).alias("best")
+    info = info.groupBy(F.col("issn").alias("_issn")).agg(best).select(
+        "_issn", F.col("best.title").alias("journal_title"), F.col("best.total_dois").alias("total_dois")
     )
     return (
         journals.withColumn("_lookup", issn)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,25 +34,28 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     return session
 
 
+_CLEARED: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for written intermediates: ``spark.checkpoint.dir`` of the session.
+    """This application's folder for written intermediates; it goes when the application ends.
 
-    Only a local session without that setting gets a folder of its own, because driver and
-    executors share one disk there. On a cluster a missing setting is an error: a machine-local
-    folder would be lost with its executor.
+    It lies in ``spark.checkpoint.dir``, or where that is unset in the context's checkpoint folder
+    or the warehouse, which driver and executors share as well.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    set_on_context = spark.sparkContext.getCheckpointDir()
-    if set_on_context:
-        return set_on_context
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(
-        tempfile.mkdtemp(prefix="refsieve-", dir=os.environ.get("TMPDIR"))
+    base = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
     )
-    return spark.sparkContext.getCheckpointDir()
+    folder = f"{base.rstrip('/')}/refsieve-{spark.sparkContext.applicationId}"
+    if folder not in _CLEARED:
+        _CLEARED.add(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+    return folder
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -67,19 +68,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-# Input per core below which a scan cannot keep all cores busy.
-BYTES_PER_CORE = 4 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small scan over all cores.
-
-    Spark makes no more splits than a table has row groups. That leaves cores idle where little
-    data means much work, such as a table about to be exploded. Only tables of less than
-    ``BYTES_PER_CORE`` per core are shuffled; larger ones are read as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * BYTES_PER_CORE else df

@@ -9,16 +9,30 @@ from refsieve.operators import gating
 from refsieve.operators import tokens as tk
 from refsieve.plans.dominant import dominant_token_works
 from refsieve.schema import RESULT, WORK
+from refsieve.session import stored
 from refsieve.sources import snapshot
 
 FREE_STOP, AUTHOR_STOP = {"the", "journal"}, {"and"}
 
 
-def stop(spark):
-    rows = [("unstructured", w) for w in FREE_STOP] + [("authors", w) for w in AUTHOR_STOP]
+STOP = {"unstructured": sorted(FREE_STOP), "authors": sorted(AUTHOR_STOP)}
+
+
+def stop_rows(spark):
+    rows = [(kind, word) for kind, words in STOP.items() for word in words]
     return spark.createDataFrame(rows, "ref_type string, word string")
 
 
+def by_long_tables(frame, stop, fraction, key):
+    """The job from long tables; ``key`` tells works apart."""
+    gated = gating.with_processable_share(gating.with_min_refs(frame))
+    cleaned = tk.cleaned_refs(gated.select(key, F.inline("proc_refs")), key)
+    kept = tk.remove_stopwords(tk.reference_tokens(cleaned, key), stop)
+    leading = tk.dominant_tokens(tk.token_counts(kept, key), key)
+    scored = tk.token_fraction(leading, tk.cleaned_lengths(cleaned, key), fraction, key=key)
+    return gated.join(scored, key)
+
+
 def made(works, spark):
     lines = spark.sparkContext.parallelize([json.dumps(w) for w in works])
     return spark.read.schema(WORK).json(lines)
@@ -88,11 +102,8 @@ def expected(fraction):
 
 
 @pytest.mark.parametrize("fraction", [0.5, 0.2])
-@pytest.mark.parametrize("literal_words", [20_000, 1])
-def test_job_equals_plain_python(spark, fraction, literal_words):
-    frame = dominant_token_works(
-        made(works(), spark), stop(spark), fraction, max_literal_words=literal_words
-    )
+def test_job_equals_plain_python(spark, fraction):
+    frame = dominant_token_works(made(works(), spark), STOP, fraction)
     assert frame.columns == RESULT.fieldNames()
     got = {
         r["DOI"]: (
@@ -107,15 +118,29 @@ def test_job_equals_plain_python(spark, fraction, literal_words):
     assert not {"at_gate", "stop_only", "second_pass_below_25", "no_count", "zero_count"} & set(wanted)
 
 
+def test_rows_of_one_doi_are_works_of_their_own_in_every_way(spark):
+    twice = made(works() + works(), spark).withColumn("work", F.monotonically_increasing_id())
+    twice = stored(twice, "twice")
+    rows = sorted(
+        (r["DOI"], r["token_vocabulary"], r["cleaned_references_length"])
+        for r in dominant_token_works(twice, STOP, 0.2).collect()
+    )
+    long = sorted(
+        (r["DOI"], r["token_vocabulary"], r["cleaned_references_length"])
+        for r in by_long_tables(twice, stop_rows(spark), 0.2, "work").collect()
+    )
+    assert rows == long and len(rows) == 2 * len(expected(0.2))
+
+
 def test_job_has_no_shuffle_and_no_python(spark):
-    frame = dominant_token_works(made(works(), spark), stop(spark))
+    frame = dominant_token_works(made(works(), spark), STOP)
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Exchange", "Join", "Python", "Window", "Sort "))
 
 
 def test_flag_and_result_columns(spark):
     rows = {
-        r["DOI"]: r for r in dominant_token_works(made(works(), spark), stop(spark)).collect()
+        r["DOI"]: r for r in dominant_token_works(made(works(), spark), STOP).collect()
     }
     assert rows["over_gate"]["flag"] == "Yes" and rows["tied"]["flag"] == "No"
     assert rows["over_gate"]["title"] == "over_gate"

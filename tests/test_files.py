@@ -8,7 +8,7 @@ from refsieve.plans.reports import duplicate_titles
 from refsieve.session import shared_folder, stored
 from refsieve.sources import sinks, snapshot
 from workload import views
-from workload.queries import stop_words
+from workload.queries import stop_lists
 
 
 def test_snapshot_lines_and_items(spark, tmp_path):
@@ -25,9 +25,10 @@ def test_snapshot_lines_and_items(spark, tmp_path):
 
 
 def test_results_and_reports_round_trip(spark, sf_dir, tmp_path):
-    found = dominant_token_works(views.works(spark, sf_dir), stop_words(spark, sf_dir), 0.3)
+    found = dominant_token_works(views.works(spark, sf_dir), stop_lists(spark, sf_dir), 0.3)
     path = sinks.write_results(found, str(tmp_path), datetime(2024, 8, 19, 15, 18, 19))
-    assert os.path.basename(path) == "2024_8_19T15_18_19.parquet"
+    assert os.path.basename(path).startswith("run-20240819-151819-")
+    assert sinks.run_path("x", datetime(2024, 8, 19)) != sinks.run_path("x", datetime(2024, 8, 19))
     again = snapshot.read_results(spark, path)
     assert again.columns == found.columns and again.count() == found.count() > 0
 
@@ -53,7 +54,7 @@ def test_stored_tables_lie_in_the_shared_folder(spark):
 
 
 def test_scan_reads_only_what_a_report_needs(spark, sf_dir, tmp_path):
-    found = dominant_token_works(views.works(spark, sf_dir), stop_words(spark, sf_dir), 0.3)
+    found = dominant_token_works(views.works(spark, sf_dir), stop_lists(spark, sf_dir), 0.3)
     results = snapshot.read_results(spark, sinks.write_results(found, str(tmp_path)))
     narrow = results.filter("work_type = 'book'").select("DOI")
     plan = narrow._jdf.queryExecution().executedPlan().toString()

@@ -277,7 +277,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY container_title
           {count_window(['electronic_issn'])} AS electronic_issn_counts
         FROM prepared WHERE work_type = 'journal-article'))
 WHERE place = 1""")
-for parts_name, size in (("top_titles", 20), ("report_titles", 60)):
+for parts_name, size in (("top_titles", 60), ("report_titles", 60)):
     part(parts_name, ["ranked"], f"""
 SELECT DISTINCT * FROM (
   (SELECT * FROM ranked ORDER BY {ELECTRONIC_FIRST}, container_title NULLS LAST LIMIT {size})

@@ -52,6 +52,10 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select([column(f) for f in df.schema.fields])
 
 
+def stop_lists(spark, sf):
+    return tk.stop_lists(stop_words(spark, sf))
+
+
 def stop_words(spark, sf):
     return tk.stop_table(spark, views.ignore_words(spark, sf))
 
@@ -62,17 +66,17 @@ def first_titles(spark, sf):
     return titled.filter(F.col("title") != "").groupBy("DOI").agg(F.max("title").alias("title"))
 
 
-def _version(sf):
-    """When a local data folder last changed."""
-    source = os.path.join(sf, "documents.parquet")
-    return os.stat(source).st_mtime_ns if os.path.exists(source) else None
+def _version(spark, sf):
+    """When the documents last changed, as their store says."""
+    files = views.table(spark, sf, "documents").select("_metadata.file_modification_time")
+    return files.agg(F.max("file_modification_time")).first()[0]
 
 
 def results(spark, sf):
     """The result table, written once per session and data folder and read back."""
-    key = (spark.sparkContext.applicationId, sf, _version(sf))
+    key = (spark.sparkContext.applicationId, sf, _version(spark, sf))
     if key not in _WRITTEN:
-        found = dominant.dominant_token_works(views.works(spark, sf), stop_words(spark, sf))
+        found = dominant.dominant_token_works(views.works(spark, sf), stop_lists(spark, sf))
         _WRITTEN[key] = sinks.write_results(found, _scratch(spark, "results"))
     return snapshot.read_results(spark, _WRITTEN[key])
 
@@ -117,10 +121,10 @@ def read_items(spark, sf):
     path = _scratch(spark, "items")
     works = views.works(spark, sf)
     document = F.to_json(F.struct(F.collect_list(F.struct(*works.columns)).alias("items")))
-    # A document holds a hundred rows of one partition, whatever their keys.
-    numbered = works.withColumn("part", F.floor(F.monotonically_increasing_id() / 100))
+    # A document holds a thousand rows of one partition, whatever their keys, and is a file.
+    numbered = works.withColumn("part", F.floor(F.monotonically_increasing_id() / 1000))
     documents = numbered.groupBy("part").agg(document.alias("value"))
-    documents.write.partitionBy("part").text(path)
+    documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return flat(
         snapshot.read_items(spark, path).select(
             "DOI", "type", "member", F.coalesce(F.array_size("reference"), F.lit(0)).alias("n_references")
@@ -343,7 +347,7 @@ def token_fraction(spark, sf):
 
 
 def dominant_token_works(spark, sf):
-    found = dominant.dominant_token_works(views.works(spark, sf), stop_words(spark, sf))
+    found = dominant.dominant_token_works(views.works(spark, sf), stop_lists(spark, sf))
     return flat(
         found.select(
             "DOI", "token_vocabulary", "token_frac_refs", "total_processed_ref_len",
@@ -354,7 +358,7 @@ def dominant_token_works(spark, sf):
 
 
 def dominant_token_works_low(spark, sf):
-    found = dominant.dominant_token_works(views.works(spark, sf), stop_words(spark, sf), 0.05)
+    found = dominant.dominant_token_works(views.works(spark, sf), stop_lists(spark, sf), 0.05)
     return flat(found.select("DOI", "token_vocabulary", "token_frac_refs", "flag"))
 
 
@@ -579,9 +583,9 @@ def journals_ranked(spark, sf):
     return flat(journals.journals_ranked(prepared(spark, sf, ["container_title_work_type_counts"])))
 
 
-def _top_journals(spark, sf, k=20):
+def _top_journals(spark, sf):
     ranked = journals.journals_ranked(prepared(spark, sf, ["container_title_work_type_counts"]))
-    return journals.top_journals(ranked, k)
+    return journals.top_journals(ranked)
 
 
 def top_journals(spark, sf):

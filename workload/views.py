@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 from refsieve.functions.gate import once
 from refsieve.functions.text import TERM
 from refsieve.schema import REFERENCE, WORK
-from refsieve.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table; the documents, which every text query works hard on, over all cores."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df) if name == "documents" else df
+    """One given table."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def _marked(part, i):

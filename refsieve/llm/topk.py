@@ -120,7 +120,7 @@ def _cell(group: pd.DataFrame, k: int) -> pd.DataFrame:
         return empty.astype("int64")
     both = _matrix(pd.concat([asked["x"], given["x"]]))
     queries, candidates = both[: len(asked)], both[len(asked):]
-    ids = given["vec_id"].fillna(_NO_ID).to_numpy(np.int64)
+    ids = given["vec_id"].to_numpy(np.int64)
     place = {key: i for i, key in enumerate(given["key"])}
     own = np.array([place.get(key, -1) for key in asked["key"]])
     out = []
@@ -145,21 +145,19 @@ def top_k(
     a cell stays as small for any input.
     """
     rows = scaled(vectors, vec_id, vector, scale)
-    asks = F.coalesce(is_query(F.col("vec_id")), F.lit(False))
+    asks = F.coalesce(F.col("vec_id").isNotNull() & is_query(F.col("vec_id")), F.lit(False))
     n, n_queries = rows.agg(F.count("*"), F.count_if(asks)).first()
     bands = max(1, -(-n // candidates_per_cell))
     stripes = max(1, -(-n_queries // queries_per_cell))
     key = F.xxhash64("vec_id", "x")
-    band, stripe = F.pmod(key, F.lit(bands)), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(stripes))
-    rows = rows.withColumn("key", key)
+    rows = rows.select(F.coalesce("vec_id", F.lit(_NO_ID)).alias("vec_id"), "x", "n", asks.alias("asks"), key.alias("key"))
+    band, stripe = (F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(count)) for turn, count in ((0, bands), (1, stripes)))
 
     def every(count):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
 
-    given = rows.select("*", F.lit(False).alias("asks"), band.alias("band"), every(stripes).alias("stripe"))
-    asked = rows.filter(asks).select(
-        "*", F.lit(True).alias("asks"), stripe.alias("stripe"), every(bands).alias("band")
-    )
+    given = rows.withColumn("asks", F.lit(False)).select("*", band.alias("band"), every(stripes).alias("stripe"))
+    asked = rows.filter("asks").select("*", every(bands).alias("band"), stripe.alias("stripe"))
     found = given.unionByName(asked).groupBy("band", "stripe").applyInPandas(
         lambda group: _cell(group, k),
         "query_id long, query_key long, query_n long, vec_id long, score long",

@@ -77,16 +77,36 @@ def _prefix_length(vector: Column, threshold: float) -> Column:
     return F.array_size(vector) - rest["n"] + 1
 
 
-def _dot(vector: Column, terms: Column, weights: Column) -> Column:
-    return F.aggregate(
-        vector,
-        F.lit(0.0),
-        lambda acc, x: acc
-        + x["weight"]
-        * F.coalesce(
-            F.get(weights, (F.array_position(terms, x["term"]) - 1).cast("int")), F.lit(0.0)
+def _rests(vector: Column) -> Column:
+    """Squared length of what is left of a vector from each place on."""
+    sums = F.aggregate(
+        F.reverse(vector),
+        F.array(F.lit(0.0)),
+        lambda sums, x: F.concat(sums, F.array(F.get(sums, F.array_size(sums) - 1) + x["weight"] * x["weight"])),
+    )
+    return F.reverse(F.slice(sums, F.lit(2), F.array_size(vector)))
+
+
+def _dot(first: Column, second: Column) -> Column:
+    """Scalar product: in both vectors sorted together, equal terms are neighbours."""
+    both = F.array_sort(
+        F.transform(
+            F.concat(first, second), lambda x: F.struct(x["term"].alias("term"), x["weight"].alias("weight"))
+        )
+    )
+    products = F.transform(
+        F.array(both),
+        lambda terms: F.aggregate(
+            F.sequence(F.lit(1), F.array_size(terms) - 1),
+            F.lit(0.0),
+            lambda total, i: total
+            + F.when(
+                F.get(terms, i)["term"] == F.get(terms, i - 1)["term"],
+                F.get(terms, i)["weight"] * F.get(terms, i - 1)["weight"],
+            ).otherwise(0.0),
         ),
     )
+    return F.get(products, F.lit(0))
 
 
 def tfidf_pairs(
@@ -99,23 +119,23 @@ def tfidf_pairs(
     groups = stored(collapse(df, column, id_column), "titles")
     # Read by both sides of the join and by both sides of the check: written once instead.
     vectors = stored(_vectors(_weighted_terms(groups)), "vectors")
-    leading = F.slice(F.col("vector"), F.lit(1), _prefix_length(F.col("vector"), threshold))
-    records = vectors.select(
-        "id",
-        "copies",
+    numbered = vectors.select("id", "copies", "vector", _rests(F.col("vector")).alias("rests"))
+    marked = F.transform(
         "vector",
-        F.transform("vector", lambda x: x["term"]).alias("terms"),
-        F.transform("vector", lambda x: x["weight"]).alias("weights"),
-        F.transform(
-            leading, lambda x: F.struct(x["freq"].alias("freq"), x["term"].alias("token"))
-        ).alias("prefix"),
+        lambda x, i: F.struct(
+            x["freq"].alias("freq"), x["term"].alias("token"), F.get("rests", i).alias("rest")
+        ),
     )
-    found = candidate_pairs(records, [], lambda a, b: F.lit(True))
-    scored = with_both(found, records, ["copies", "vector", "terms", "weights"]).select(
+    records = numbered.select(
+        "id",
+        F.slice(marked, F.lit(1), _prefix_length(F.col("vector"), threshold)).alias("prefix"),
+    )
+    # Terms before the first shared one add nothing, so both rests bound the product.
+    enough = threshold * threshold - SLACK
+    found = candidate_pairs(records, [], lambda a, b: a("rest") * b("rest") >= enough, ["rest"])
+    scored = with_both(found, vectors, ["copies", "vector"]).select(
         "id1", "id2", "copies1", "copies2",
-        passing(
-            _dot(F.col("vector1"), F.col("terms2"), F.col("weights2")), lambda s: s >= threshold
-        ).alias("score"),
+        passing(_dot(F.col("vector1"), F.col("vector2")), lambda s: s >= threshold).alias("score"),
     )
     near = counted_pairs(scored)
     worded = groups.filter(F.col("value").rlike(text.TERM))

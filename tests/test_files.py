@@ -2,6 +2,7 @@ import json
 import os
 from datetime import datetime
 
+from refsieve import job
 from refsieve.plans.dominant import dominant_token_works
 from refsieve.plans.prepare import flatten_results
 from refsieve.plans.reports import duplicate_titles
@@ -24,6 +25,23 @@ def test_snapshot_lines_and_items(spark, tmp_path):
     assert lines.columns == items.columns and lines.count() == 2
 
 
+def test_job_reads_files_and_writes_a_table(spark, tmp_path):
+    references = [{"unstructured": f"Smith {c}x Atlantis Foo"} for c in "abcdefghijklmnopqrstuvwxyzab"]
+    works = [
+        {"DOI": "1", "type": "book", "title": ["T"], "reference": references, "reference-count": 28},
+        {"DOI": "2", "reference": references[:3], "reference-count": 3},
+    ]
+    (tmp_path / "works.jsonl").write_text("\n".join(json.dumps(w) for w in works))
+    (tmp_path / "tokens.json").write_text(json.dumps({"unwanted_tokens": ["Foo"]}))
+    (tmp_path / "countries.json").write_text(json.dumps({"countries": ["Atlantis"]}))
+    path = job.run(
+        spark, str(tmp_path / "works.jsonl"), str(tmp_path / "out"),
+        str(tmp_path / "tokens.json"), str(tmp_path / "countries.json"),
+    )
+    rows = snapshot.read_results(spark, path).collect()
+    assert [(r["DOI"], r["token_vocabulary"]) for r in rows] == [("1", ["Smith"])]
+
+
 def test_results_and_reports_round_trip(spark, sf_dir, tmp_path):
     found = dominant_token_works(views.works(spark, sf_dir), stop_lists(spark, sf_dir), 0.3)
     path = sinks.write_results(found, str(tmp_path), datetime(2024, 8, 19, 15, 18, 19))

@@ -168,3 +168,13 @@ def test_embedding_pairs_equal_brute_force(spark, threshold, block_rows):
 def test_no_vectors_no_pairs(spark):
     frame = spark.createDataFrame([(1, [0.0, 0.0])], "vec_id long, embedding array<float>")
     assert embeddings.embedding_pairs(frame).count() == 0
+
+
+def test_no_cell_holds_more_than_two_blocks(spark):
+    entry = F.array(F.struct(F.lit(500).alias("freq"), F.lit("the").alias("token")))
+    records = spark.range(500).select(F.format_string("d%03d", "id").alias("id"), entry.alias("prefix"))
+    cells = prefix_join.prefix_cells(records, [], rows_per_block=50).groupBy("token", "low", "high")
+    sizes = [r[0] for r in cells.agg(F.count("*")).select(F.col("count(1)")).collect()]
+    assert len(sizes) == 11 * 12 // 2 and max(sizes) <= 2 * 50 * 2
+    pairs = prefix_join.candidate_pairs(records, [], lambda a, b: F.lit(True), rows_per_block=50)
+    assert pairs.count() == 500 * 499 // 2

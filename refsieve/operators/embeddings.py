@@ -6,7 +6,10 @@ radius plus that angle of the pivot; only such vectors are sent to the cell as v
 cell, residents and visitors are cut into blocks, and one task multiplies two blocks. Hot cells
 become more tasks, not larger ones, and a task returns only the pairs that reach the threshold.
 
-Pivots and per-cell counts, at most ``PIVOTS`` small rows, are all that passes through the driver.
+There are as many cells as residents fill blocks, so that a cell does not grow with the data, up to
+``MOST_PIVOTS``. Pivots and per-cell counts, one small row each, are all that passes through the
+driver. How much the cells save depends on the vectors: without clusters, or with a low threshold,
+nearly every cell visits every other.
 """
 
 import math
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from refsieve.operators.copies import collapse, copy_pairs, counted_pairs
 from refsieve.session import stored
 
-PIVOTS = 64
+PIVOTS, MOST_PIVOTS = 64, 4_096
 BLOCK_ROWS = 2_048
 # Slack on angles, so that rounding never loses a visitor.
 SLACK = 1e-6
@@ -100,7 +103,7 @@ def _in_blocks(placed: DataFrame, block_rows: int) -> DataFrame:
         F.count_if(~F.col("visiting")).alias("residents"),
         F.count_if("visiting").alias("visitors"),
     )
-    # One small row per pivot: the bound on this broadcast is PIVOTS.
+    # One small row per pivot: the bound on this broadcast is MOST_PIVOTS.
     sized = placed.join(F.broadcast(sizes), "cell")
 
     def blocks(column):
@@ -180,7 +183,7 @@ def embedding_pairs(
     threshold: float = 0.8,
     id_column: str = "vec_id",
     column: str = "embedding",
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Pairs of distinct vectors with a cosine of at least ``threshold``, and copies of a vector.
@@ -189,7 +192,10 @@ def embedding_pairs(
     zero vector has no direction and no partner.
     """
     nonzero = df.filter(F.exists(column, lambda x: x != 0))
-    groups = collapse(nonzero, column, id_column)
+    # Read for pivots, residents and copies, and behind a shuffle of whole vectors: written once.
+    groups = stored(collapse(nonzero, column, id_column), "vectors")
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(PIVOTS, groups.count() // block_rows))
     centres = _pivots(groups, pivots)
     if not len(centres):
         near = groups.select(

@@ -595,11 +595,12 @@ query("tfidf_weights", ["weights"], "SELECT id, term, round(weight, 6) AS weight
 PAIR_COLUMNS = "id1, id2, copies1, copies2, round(score, 6) AS score, n_pairs"
 query("tfidf_pairs", ["pairs"], f"SELECT {PAIR_COLUMNS}, title1, title2 FROM pairs")
 query("tfidf_pairs_half", ["half"], "SELECT id1, id2, round(score, 6) AS score, n_pairs FROM half")
-query("embedding_pairs", ["vectors"], """
+for name, least in (("embedding_pairs", 0.8), ("embedding_pairs_low", 0.3)):
+    query(name, ["vectors"], f"""
 SELECT id1, id2, copies1, copies2, round(score, 3) AS score, copies1 * copies2 AS n_pairs FROM (
   SELECT a.id AS id1, b.id AS id2, a.copies AS copies1, b.copies AS copies2,
     list_cosine_similarity(a.value, b.value) AS score
-  FROM vectors a JOIN vectors b ON a.id < b.id) WHERE score >= 0.3
+  FROM vectors a JOIN vectors b ON a.id < b.id) WHERE score >= {least}
 UNION ALL SELECT id, id, copies, copies, 1.0, copies * (copies - 1) // 2
 FROM vectors WHERE copies > 1""")
 query("score_band", ["pairs"], """

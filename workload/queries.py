@@ -703,6 +703,10 @@ def tfidf_pairs_half(spark, sf):
 
 
 def embedding_pairs(spark, sf):
+    return flat(embeddings.embedding_pairs(views.table(spark, sf, "embeddings")))
+
+
+def embedding_pairs_low(spark, sf):
     return flat(embeddings.embedding_pairs(views.table(spark, sf, "embeddings"), 0.3))
 
 
@@ -837,6 +841,7 @@ QUERIES = {
     "tfidf_pairs": tfidf_pairs,
     "tfidf_pairs_half": tfidf_pairs_half,
     "embedding_pairs": embedding_pairs,
+    "embedding_pairs_low": embedding_pairs_low,
     "score_band": score_band,
     "top_pair": top_pair,
     "jaccard_pairs": jaccard_pairs,

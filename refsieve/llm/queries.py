@@ -54,6 +54,71 @@ def op6_secrets(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def _either_case(pattern: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in pattern)
+
+
+def _op6_sql() -> str:
+    """Places from the gaps between matches; entropy of every window by itself."""
+    words = _either_case("(?:password|passwd|secret|token|api_?key)")
+    assign = words + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    patterns = {
+        "assign": (assign, 1, 6), "access": ("AKIA[A-Z0-9]+", 0, 20), "hex": ("[0-9a-f]+", 0, 24),
+        "run": (secrets.CANDIDATE, 0, 0),
+    }
+
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    found = " UNION ALL ".join(f"""
+      SELECT row_no, {place} AS kind, hit, start, start + length(hit) AS stop FROM (
+        SELECT row_no, hit, part, sum(length(gap) + length(hit)) OVER (
+          PARTITION BY row_no ORDER BY i) - length(hit) AS start
+        FROM (SELECT row_no, unnest(hits) AS hit, unnest(parts) AS part, unnest(gaps[:len(hits)]) AS gap,
+            unnest(range(len(hits))) AS i
+          FROM (SELECT row_no, regexp_extract_all(text, {quoted(pattern)}) AS hits,
+              regexp_extract_all(text, {quoted(pattern)}, {group}) AS parts,
+              regexp_split_to_array(text, {quoted(pattern)}) AS gaps FROM texts)))
+      WHERE length(part) >= {least}""" for place, (pattern, group, least) in enumerate(patterns.values()))
+    # A short unit repeated needs a back reference, which this dialect does not have.
+    plain = [p for p in secrets.ALLOWED if "\\1" not in p]
+    allowed = " OR ".join(f"regexp_matches(hit, {quoted(p)})" for p in plain)
+    repeated = " OR ".join(
+        f"((length(hit) - {rest}) % {k} = 0 AND length(hit) >= {2 * k + rest} AND left(hit, length(hit) - {rest})"
+        f" = repeat(left(hit, {k}), (length(hit) - {rest}) // {k}))" for k in (1, 2, 3, 4) for rest in range(4)
+    )
+    bits = "CASE " + " ".join(f"WHEN regexp_matches(hit, {quoted(p)}) THEN {b}" for p, b in secrets.CLASSES) + " END"
+    w = secrets.WINDOW
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+found AS MATERIALIZED ({found}),
+windows AS (
+  SELECT row_no, start AS run, start + i AS a FROM found, unnest(range(length(hit) - {w - 1})) AS t(i)
+  WHERE kind = 3 AND NOT ({allowed}) AND NOT ({repeated})
+    AND list_entropy(string_split(substr(hit, i + 1, {w}), '')) >= {bits} - 1e-9
+), islands AS (
+  SELECT *, sum(new) OVER (PARTITION BY row_no, run ORDER BY a) AS island FROM (
+    SELECT *, (a - lag(a, 1, -1000) OVER (PARTITION BY row_no, run ORDER BY a) > {w})::INT AS new FROM windows)
+), stretches AS (
+  SELECT row_no, min(a) AS start, max(a) + {w} AS stop FROM islands GROUP BY row_no, run, island
+), spans AS (
+  SELECT row_no, kind, start, stop FROM found WHERE kind < 3
+  UNION ALL SELECT row_no, 3, start, stop FROM stretches s WHERE NOT EXISTS (
+    SELECT 1 FROM found f WHERE f.row_no = s.row_no AND f.kind < 3 AND f.start <= s.start AND s.stop <= f.stop)
+), written AS (
+  SELECT row_no, kind, start,
+    ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || start || ':' || stop AS span FROM spans
+), grouped AS (
+  SELECT row_no, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+    count(*) FILTER (kind = 2) AS n_hex, string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
+    string_agg(span, ',' ORDER BY start, kind) AS spans
+  FROM written GROUP BY row_no
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+  coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN grouped USING (row_no)"""
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.Mix(table(spark, sf_dir, "documents")).report()
 
@@ -111,5 +176,6 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op2_topk": OP2,
+    "op6_secrets": _op6_sql(),
     "op9_substrings": OP9,
 }

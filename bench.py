@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -26,12 +27,17 @@ HEADLINE = [
 def main() -> None:
     from refsieve.session import local_session
     from workload.queries import QUERIES, results
+    from workload.views import SCAN_PARTITIONS
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
-    spark = local_session(cpus, partitions=int(cpus) if cpus.isdigit() else 8)
+    cores = int(cpus) if cpus.isdigit() else 8
+    spark = local_session(cpus, partitions=cores)
+    # Intermediates go when the session ends.
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bench-"))
+    spark.conf.set(SCAN_PARTITIONS, str(cores))
 
     start = time.time()
     results(spark, folder)
@@ -51,7 +57,8 @@ def main() -> None:
         json.dumps(
             {
                 "metric": "total_query_seconds",
-                "value": round(sum(seconds.values()), 3),
+                # Reports read the result table, so the time to write it counts.
+                "value": round(sum(seconds.values()) + stored_results, 3),
                 "unit": "sec",
                 "queries": seconds,
                 "stored_results_sec": round(stored_results, 3),

@@ -7,6 +7,8 @@ takes in combining marks. ``(?d)`` makes ``.`` stop at line feed only.
 from __future__ import annotations
 
 import html.entities
+from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,15 +34,30 @@ HIDDEN_BLOCK = (
 )
 TAG = r"(?s)</?[A-Za-z][^>]*>|<[!?][^>]*>"
 
-NAMED_ENTITY = r"^([A-Za-z][A-Za-z0-9]*);"
-DECIMAL_ENTITY = r"^#([0-9]{1,7});"
-HEX_ENTITY = r"^#[xX]([0-9A-Fa-f]{1,6});"
+NAMED_ENTITY = r"^([A-Za-z][A-Za-z0-9]*;)"
+DECIMAL_ENTITY = r"^#0*([0-9]{1,7});"
+HEX_ENTITY = r"^#[xX]0*([0-9A-Fa-f]{1,6});"
 HIGHEST_CODE_POINT = 0x10FFFF
+# Names that count without a semicolon too, the longest first.
+OPEN_ENTITY = "^(" + "|".join(
+    sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+) + ")"
 
 
-def _named_entities() -> Column:
-    pairs = [(name, chr(point)) for name, point in sorted(html.entities.name2codepoint.items())]
-    return F.create_map(*[F.lit(text) for pair in pairs for text in pair])
+@cache
+def named_entities(quoted: Callable[[str], str]) -> str:
+    """Keys and values of the standard library's table of HTML 5 names, as SQL literals."""
+    pairs = sorted(html.entities.html5.items())
+    return ", ".join(f"{quoted(name)}, {quoted(value)}" for name, value in pairs)
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _named(name: Column) -> Column:
+    # One literal map, written as SQL text, which parses faster than it crosses py4j.
+    return F.try_element_at(F.expr(f"map({named_entities(_literal)})"), name)
 
 
 def _character(code_point: Column) -> Column:
@@ -53,13 +70,15 @@ def _decode_entity(part: Column) -> Column:
     """``part`` is what follows an ampersand; an unknown entity keeps its ampersand."""
     decimal = F.regexp_extract(part, DECIMAL_ENTITY, 1)
     hexadecimal = F.regexp_extract(part, HEX_ENTITY, 1)
+    named, open_ = F.regexp_extract(part, NAMED_ENTITY, 1), F.regexp_extract(part, OPEN_ENTITY, 1)
     character = F.coalesce(
-        F.try_element_at(_named_entities(), F.regexp_extract(part, NAMED_ENTITY, 1)),
+        _named(F.when(named != "", named)),
         _character(F.when(decimal != "", decimal.cast("long"))),
         _character(F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("long"))),
     )
     rest = F.substring(part, F.instr(part, ";") + 1, F.length(part))
-    return F.coalesce(F.concat(character, rest), F.concat(F.lit("&"), part))
+    after = F.concat(_named(F.when(open_ != "", open_)), F.substring(part, F.length(open_) + 1, F.length(part)))
+    return F.coalesce(F.concat(character, rest), after, F.concat(F.lit("&"), part))
 
 
 def strip_html(text: Column) -> Column:

@@ -1,5 +1,7 @@
 import re
 
+import html
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,3 +128,11 @@ def test_token_in_title(spark):
     )
     flags = frame.orderBy("id").select(wx.contained_flag(F.col("v"), F.col("t"))).collect()
     assert [r[0] for r in flags] == ["Yes", "No", "No", "Yes"]
+
+
+@pytest.mark.parametrize("markup", [
+    "a &copy; b", "&copy 2020", "&notit; x", "&hellip;&nbsp;&CounterClockwiseContourIntegral;", "&#000000065; &#x00000041;",
+    "&unknown; & &amp;lt;", "&amp", "x &fjlig; y", "it's &apos;q&apos; \\n",
+])
+def test_entities_of_html_5(spark, markup):
+    assert apply(spark, tx.strip_html, [markup]) == [html.unescape(markup)]

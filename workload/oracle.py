@@ -42,8 +42,14 @@ def clean_title(expr: str) -> str:
 
 @cache
 def entity_map() -> str:
-    pairs = html.entities.name2codepoint.items()
-    return "MAP {" + ", ".join(f"{quoted(k)}: chr({v})" for k, v in pairs) + "}"
+    pairs = html.entities.html5.items()
+    return "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in pairs) + "}"
+
+
+@cache
+def open_entities() -> str:
+    names = [name for name in html.entities.html5 if not name.endswith(";")]
+    return quoted("^(" + "|".join(sorted(names, key=lambda n: (-len(n), n))) + ")")
 
 
 def character(code: str) -> str:
@@ -62,16 +68,18 @@ def visible(expr: str) -> str:
         r"(?s)</?[A-Za-z][^>]*>|<[!?][^>]*>",
     ):
         stripped = replaced(stripped, pattern)
-    decimal = "TRY_CAST(regexp_extract(p, '^#([0-9]{1,7});', 1) AS BIGINT)"
-    hexadecimal = "TRY_CAST('0x' || regexp_extract(p, '^#[xX]([0-9A-Fa-f]{1,6});', 1) AS BIGINT)"
+    decimal = "TRY_CAST(regexp_extract(p, '^#0*([0-9]{1,7});', 1) AS BIGINT)"
+    hexadecimal = "TRY_CAST('0x' || regexp_extract(p, '^#[xX]0*([0-9A-Fa-f]{1,6});', 1) AS BIGINT)"
     decoded = (
-        f"coalesce({entity_map()}[regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1)], "
+        f"coalesce({entity_map()}[regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*;)', 1)], "
         f"{character(decimal)}, {character(hexadecimal)})"
     )
+    name = f"regexp_extract(p, {open_entities()}, 1)"
+    opened = f"{entity_map()}[{name}] || substr(p, length({name}) + 1)"
     return (
         f"CASE WHEN regexp_matches({expr}, '[<&]') THEN array_to_string(list_transform("
         f"string_split({stripped}, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE "
-        f"coalesce({decoded} || substr(p, strpos(p, ';') + 1), '&' || p) END), '') "
+        f"coalesce({decoded} || substr(p, strpos(p, ';') + 1), {opened}, '&' || p) END), '') "
         f"ELSE {expr} END"
     )
 

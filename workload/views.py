@@ -12,9 +12,19 @@ from refsieve.functions.text import TERM
 from refsieve.schema import REFERENCE, WORK
 
 
+SCAN_PARTITIONS = "spark.workload.scanPartitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """One given table.
+
+    The given documents lie in one row group, which Spark reads in one task, whatever the cores. A
+    session may set ``SCAN_PARTITIONS`` to deal them out; tables of many row groups need no such
+    setting, and no size is looked at.
+    """
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    parts = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts and name == "documents" else df
 
 
 def _marked(part, i):

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refsieve.functions import text, works
-from refsieve.operators.grouping import count_over
-
 COUNTS = {
     "token_counts_by_container_title": ["separated_tokens", "container_title"],
     "token_counts_by_print_issn": ["separated_tokens", "print_issn"],
@@ -37,10 +37,19 @@ def flatten_results(results: DataFrame) -> DataFrame:
 def prepare(results: DataFrame, counts: Iterable[str] = tuple(COUNTS)) -> DataFrame:
     """Add the requested group counts; a report asks only for those it shows.
 
-    Every count reads the result table again, for its two key columns only, so ``results`` should
-    be a stored table rather than the snapshot job itself.
+    Rows are first counted per combination of all keys. The counts are sums over that slim table and
+    are joined to it, so that wide rows are shuffled once, however many counts there are.
     """
-    frame = flatten_results(results)
+    frame, counts = flatten_results(results), list(counts)
+    if not counts:
+        return frame
+    keys = sorted({key for name in counts for key in COUNTS[name]})
+    combinations = frame.groupBy(*keys).agg(F.count("DOI").alias("_n"))
+    counted = combinations
     for name in counts:
-        frame = count_over(frame, COUNTS[name], name)
-    return frame
+        own = COUNTS[name]
+        sums = combinations.dropna(subset=own).groupBy(*own).agg(F.sum("_n").alias(name))
+        counted = counted.join(sums, own, "left")
+    counted = counted.select(*[F.col(key).alias(f"_{key}") for key in keys], *counts)
+    same = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys])
+    return frame.join(counted, same, "left").select(*frame.columns, *counts)

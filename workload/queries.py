@@ -82,7 +82,14 @@ def results(spark, sf):
 
 
 def prepared(spark, sf, counts=tuple(COUNTS)):
-    return prepare(results(spark, sf), counts)
+    """The prepared frame with some of its counts, written once per session and data folder."""
+    key = ("prepared", spark.sparkContext.applicationId, sf, _version(spark, sf))
+    if key not in _WRITTEN:
+        path = _scratch(spark, "prepared")
+        prepare(results(spark, sf)).write.parquet(path)
+        _WRITTEN[key] = path
+    frame = spark.read.parquet(_WRITTEN[key])
+    return frame.drop(*[name for name in COUNTS if name not in counts])
 
 
 def cleaned(spark, sf):
@@ -454,7 +461,7 @@ def pairs_per_id(spark, sf):
 
 
 def prepared_frame(spark, sf):
-    return flat(prepared(spark, sf).drop("token_vocabulary"))
+    return flat(prepare(results(spark, sf)).drop("token_vocabulary"))
 
 
 # --- reports -------------------------------------------------------------------------------

@@ -27,6 +27,12 @@ def count_over(
     return df.join(counts, matches, "left").drop(*[f"_{k}" for k in keys])
 
 
+def sum_over(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` per key; null where the key is null."""
+    sums = df.groupBy(F.col(key).alias("_key")).agg(F.sum(value).alias(name))
+    return df.join(sums, F.col(key) == F.col("_key"), "left").drop("_key")
+
+
 def keep_first(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row per key in the given order; nulls form one group."""
     keys = [keys] if isinstance(keys, str) else list(keys)

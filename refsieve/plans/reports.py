@@ -26,11 +26,11 @@ from refsieve.fixed_values import (
 from refsieve.functions import works
 from refsieve.operators.grouping import (
     ascending,
-    count_over,
     descending,
     differs,
     keep_duplicated,
     not_in,
+    sum_over,
 )
 from refsieve.operators.sets import with_ids, without_ids
 
@@ -211,5 +211,7 @@ def references_by_author(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select("DOI", F.inline(wanted).alias("key", "unstructured", "author", "ref_doi"))
 
 
-def pairs_per_id(pairs: DataFrame, key: str = "DOI", name: str = "DOI_counts") -> DataFrame:
-    return count_over(pairs, [key], name, key)
+def pairs_per_id(pairs: DataFrame, name: str = "DOI_counts") -> DataFrame:
+    """Add how many works each work behind ``id1`` is paired with, copies counted."""
+    partners = F.when(F.col("id1") == F.col("id2"), F.col("copies1") - 1).otherwise(F.col("copies2"))
+    return sum_over(pairs.withColumn("_n", partners), "id1", "_n", name).drop("_n")

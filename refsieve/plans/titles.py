@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from refsieve.fixed_values import PARTNER_NAMES, SIMILAR_TITLE_COLUMNS, STOP_TITLES
 from refsieve.functions import text
-from refsieve.operators.grouping import count_over, not_in
+from refsieve.operators.copies import members
+from refsieve.operators.grouping import not_in, sum_over
 from refsieve.operators.sets import join_pairs, join_partner
 
 
@@ -28,19 +29,23 @@ def clean_titles(
     return kept.groupBy("DOI").agg(last.alias("title"))
 
 
-def similar_title_report(articles: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs with the fields of both works, the pairs per work and the rows per container.
+def similar_title_report(articles: DataFrame, pairs: DataFrame, titles: DataFrame) -> DataFrame:
+    """For every work the titles like its own, with fields of both works and counts.
 
-    ``pairs`` runs over distinct titles; ``copies1`` and ``copies2`` say how many works share
-    each title, and ``copies.members`` lists them.
+    ``pairs`` runs over distinct titles or vectors, with copies as rows of an id with itself;
+    ``titles`` has one row per work, ``DOI, title``, where ``title`` is the value that ``pairs``
+    compares. A row is a work and an id that stands for ``n_partners`` works with one title, for
+    the work's own title all others; so rows grow with the works, never with pairs of copies.
+    ``DOI_counts`` and ``container_title_counts`` add up partners, as a full listing would count
+    its rows: pairs of different titles once, under the first, and copies under both.
     """
-    keyed = pairs.filter(F.col("id1") != F.col("id2")).select(
-        F.col("id1").alias("DOI"),
-        F.col("id2").alias("DOI2"),
-        "score", "copies1", "copies2", "n_pairs",
-        F.col("title2").alias("doi2_title"),
-    )
-    counted = count_over(keyed, ["DOI"], "DOI_counts", "DOI2")
+    groups = members(titles, "title").withColumnRenamed("member", "DOI")
+    same = F.col("id1") == F.col("id2")
+    partners = F.when(same, F.col("copies1") - 1).otherwise(F.col("copies2"))
+    keyed = pairs.select("id1", F.col("id2").alias("DOI2"), "score", "copies1", "copies2", partners.alias("n_partners"))
+    keyed = keyed.join(groups, F.col("id1") == F.col("id")).drop("id", "id1")
+    named = titles.select(F.col("DOI").alias("DOI2"), F.col("title").alias("doi2_title"))
+    counted = sum_over(keyed.join(named, "DOI2"), "DOI", "n_partners", "DOI_counts")
     combined = join_pairs(articles.select(SIMILAR_TITLE_COLUMNS), counted)
     report = join_partner(combined, articles, PARTNER_NAMES)
-    return count_over(report, ["container_title"], "container_title_counts")
+    return sum_over(report, "container_title", "n_partners", "container_title_counts")

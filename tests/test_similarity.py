@@ -178,3 +178,29 @@ def test_no_cell_holds_more_than_two_blocks(spark):
     assert len(sizes) == 11 * 12 // 2 and max(sizes) <= 2 * 50 * 2
     pairs = prefix_join.candidate_pairs(records, [], lambda a, b: F.lit(True), rows_per_block=50)
     assert pairs.count() == 500 * 499 // 2
+
+
+def test_similar_title_report_counts_every_pair_of_works(spark, frame):
+    from refsieve.plans import titles as plan
+
+    articles = frame.select(
+        "DOI", "title", F.lit("A").alias("author"), F.col("title").substr(1, 1).alias("container_title"),
+        F.lit("p").alias("print_issn"), F.lit("e").alias("electronic_issn"), F.lit("m").alias("member"),
+    )
+    pairs = tfidf.tfidf_pairs(frame)
+    report = plan.similar_title_report(articles, pairs, frame).collect()
+    known = groups()
+    works = {doi: (title, min(d for d, t in titles() if t == title)) for doi, title in titles()}
+    listed = Counter()
+    for row in pairs.collect():
+        for doi, (title, group) in works.items():
+            if group == row["id1"]:
+                listed[doi] += sum(1 for other, (_, g) in works.items() if g == row["id2"] and other != doi)
+    counts = {r["DOI"]: r["DOI_counts"] for r in report}
+    assert counts == {doi: n for doi, n in listed.items() if n}
+    assert sum(r["n_partners"] for r in report) == sum(listed.values())
+    container = Counter()
+    for doi, n in listed.items():
+        container[works[doi][0][:1]] += n
+    assert {r["container_title"]: r["container_title_counts"] for r in report} == {k: n for k, n in container.items() if n}
+    assert len(report) <= len(works) * max(len(known), 1)

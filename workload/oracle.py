@@ -496,7 +496,8 @@ query("duplicated_titles", ["works"], """
 SELECT doi AS "DOI", title, work_type FROM (
   SELECT *, count(*) OVER (PARTITION BY title) AS n FROM works) WHERE n > 1""")
 query("pairs_per_id", ["pairs"], """
-SELECT id1, id2, count(*) OVER (PARTITION BY id1) AS "DOI_counts" FROM pairs""")
+SELECT id1, id2, (sum(CASE WHEN id1 = id2 THEN copies1 - 1 ELSE copies2 END)
+  OVER (PARTITION BY id1))::BIGINT AS "DOI_counts" FROM pairs""")
 query("prepared_frame", ["prepared"], f"""
 SELECT "DOI", token_frac_refs, total_processed_ref_len, cleaned_references_length,
   total_reference_length, work_type, author, flag, member, title, container_title, print_issn,
@@ -647,16 +648,41 @@ WHERE score >= 0.8 - 1e-9
 UNION ALL SELECT id, id, 1.0, copies * (copies - 1) // 2 FROM groups WHERE copies > 1""")
 query("title_members", ["titled", "groups"], """
 SELECT t.id AS member, g.id AS id FROM titled t JOIN groups g ON g.value = t.title""")
-query("similar_title_report", ["clean_pairs", "works"], """
-SELECT *, CASE WHEN container_title IS NOT NULL
-  THEN count(*) OVER (PARTITION BY container_title) END AS container_title_counts
-FROM (SELECT p."DOI", "DOI2", score, copies1, copies2, n_pairs, doi2_title,
-    count(*) OVER (PARTITION BY p."DOI") AS "DOI_counts", a.title, a.author, a.container_title,
+def similar(pairs: str, groups: str, titled: str, score: str) -> str:
+    """Per work the ids like its own value, and how many works each stands for."""
+    return f"""
+SELECT m.id AS "DOI", id2 AS "DOI2", {score} AS score, copies1, copies2, t.title AS doi2_title,
+  CASE WHEN id1 = id2 THEN copies1 - 1 ELSE copies2 END AS n_partners
+FROM {pairs} JOIN {groups} g ON g.id = id1 JOIN {titled} m ON m.title = g.value
+  JOIN {titled} t ON t.id = id2"""
+
+
+DOI_COUNTS = '(sum(n_partners) OVER (PARTITION BY p."DOI"))::BIGINT AS "DOI_counts"'
+CONTAINER_COUNTS = """CASE WHEN container_title IS NOT NULL
+  THEN (sum(n_partners) OVER (PARTITION BY container_title))::BIGINT END AS container_title_counts"""
+query("similar_title_report", ["clean_pairs", "clean_groups", "clean_titled_full", "works"], f"""
+SELECT *, {CONTAINER_COUNTS}
+FROM (SELECT p."DOI", "DOI2", score, copies1, copies2, n_partners, doi2_title,
+    {DOI_COUNTS}, a.title, a.author, a.container_title,
     a.print_issn, a.electronic_issn, a.member, b.author AS doi2_author,
     b.container_title AS doi2_container_title, b.print_issn AS doi2_print_issn,
     b.electronic_issn AS doi2_electronic_issn, b.member AS doi2_member
-  FROM (SELECT id1 AS "DOI", id2 AS "DOI2", round(score, 6) AS score, copies1, copies2, n_pairs,
-          title2 AS doi2_title FROM clean_pairs WHERE id1 <> id2) p
+  FROM ({similar("clean_pairs", "clean_groups", "clean_titled_full", "round(score, 6)")}) p
+  JOIN works a ON a.doi = p."DOI" JOIN works b ON b.doi = "DOI2")""")
+part("embedded", [], "SELECT '10.5555/' || vec_id AS id, embedding AS title FROM embeddings")
+part("embedded_groups", ["embedded"], """
+SELECT min(id) AS id, title AS value, count(*) AS copies FROM embedded
+WHERE len(list_filter(title, lambda x: x <> 0)) > 0 GROUP BY title""")
+part("embedded_pairs", ["embedded_groups"], """
+SELECT a.id AS id1, b.id AS id2, a.copies AS copies1, b.copies AS copies2,
+  list_cosine_similarity(a.value, b.value) AS score
+FROM embedded_groups a JOIN embedded_groups b ON a.id < b.id
+WHERE list_cosine_similarity(a.value, b.value) >= 0.45
+UNION ALL SELECT id, id, copies, copies, 1.0 FROM embedded_groups WHERE copies > 1""")
+query("similar_vector_report", ["embedded_pairs", "embedded_groups", "embedded", "works"], f"""
+SELECT "DOI", "DOI2", score, n_partners, "DOI_counts", container_title, {CONTAINER_COUNTS}
+FROM (SELECT p."DOI", "DOI2", score, n_partners, {DOI_COUNTS}, a.container_title
+  FROM ({similar("embedded_pairs", "embedded_groups", "embedded", "round(score::DOUBLE, 3)")}) p
   JOIN works a ON a.doi = p."DOI" JOIN works b ON b.doi = "DOI2")""")
 
 

@@ -456,7 +456,7 @@ def duplicated_titles(spark, sf):
 
 def pairs_per_id(spark, sf):
     pairs = stored(tfidf.tfidf_pairs(first_titles(spark, sf)), "pairs")
-    counted = reports.pairs_per_id(pairs, "id1")
+    counted = reports.pairs_per_id(pairs)
     return flat(counted.select("id1", "id2", "DOI_counts"))
 
 
@@ -747,9 +747,19 @@ def title_members(spark, sf):
 
 def similar_title_report(spark, sf):
     articles = stored(_articles(spark, sf).select(SIMILAR_TITLE_COLUMNS), "articles")
-    cleaned_titles = titles.clean_titles(articles, STOP_TITLES)
-    pairs = stored(tfidf.tfidf_pairs(cleaned_titles.filter(F.col("title") != "")), "title-pairs")
-    return flat(titles.similar_title_report(articles, pairs))
+    cleaned = stored(titles.clean_titles(articles, STOP_TITLES).filter(F.col("title") != ""), "cleaned")
+    pairs = stored(tfidf.tfidf_pairs(cleaned), "title-pairs")
+    return flat(titles.similar_title_report(articles, pairs, cleaned))
+
+
+def similar_vector_report(spark, sf):
+    """The same report from vectors: works with an embedding, which is what is compared."""
+    articles = stored(_articles(spark, sf).select(SIMILAR_TITLE_COLUMNS), "articles")
+    vectors = views.table(spark, sf, "embeddings").select(
+        F.concat(F.lit("10.5555/"), "vec_id").alias("DOI"), F.col("embedding").alias("title"))
+    pairs = stored(embeddings.embedding_pairs(vectors, 0.45, "DOI", "title"), "vector-pairs")
+    report = titles.similar_title_report(articles, pairs, vectors)
+    return flat(report.select("DOI", "DOI2", "score", "n_partners", "DOI_counts", "container_title", "container_title_counts"))
 
 
 QUERIES = {
@@ -856,4 +866,5 @@ QUERIES = {
     "swap_edit_pairs": swap_edit_pairs,
     "title_members": title_members,
     "similar_title_report": similar_title_report,
+    "similar_vector_report": similar_vector_report,
 }

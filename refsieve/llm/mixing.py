@@ -248,14 +248,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    taken = Mix(numbered).ranges().filter("taken > 0").select("__row", "ranges")
+    taken = Mix(numbered).ranges().filter("taken > 0").select("__row", F.col("ranges").alias("__ranges"))
     schema = T.StructType([T.StructField("__pass", T.IntegerType()), *docs.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches):
             owner, turns, texts = [], [], []
             for i, (text, ranges) in enumerate(
-                zip(step.column("text").to_pylist(), step.column("ranges").to_pylist())
+                zip(step.column("text").to_pylist(), step.column("__ranges").to_pylist())
             ):
                 for turn, cut in _cut(text, ranges):
                     owner.append(i)

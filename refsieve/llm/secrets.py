@@ -146,12 +146,14 @@ def _entropy_spans(allowed: list[str]) -> Column:
     """).alias(f"__{ENTROPY}")
 
 
-def with_secrets(df: DataFrame, text: str = "text", allowed: list[str] = ALLOWED) -> DataFrame:
+def with_secrets(
+    df: DataFrame, text: str = "text", allowed: list[str] = ALLOWED, name: str = "secrets"
+) -> DataFrame:
     """All rows and columns of ``df``, with ``secrets``: ``kind, start, end`` of each span.
 
     Spans are ordered by start, then kind as listed. Places are code points, the end exclusive.
-    A stretch of high entropy inside a pattern's span is not listed again. ``df`` must have no
-    column ``secrets`` and none that begins with two underscores.
+    A stretch of high entropy inside a pattern's span is not listed again. ``name`` names the new
+    column; no column of ``df`` may begin with two underscores.
     """
     names = df.columns
     df = df.withColumn("__text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
@@ -173,7 +175,7 @@ def with_secrets(df: DataFrame, text: str = "text", allowed: list[str] = ALLOWED
     listed = "array(" + ", ".join(f"'{kind}'" for kind in [*KINDS, ENTROPY]) + ")"
     return df.select(*[f"`{n}`" for n in names], once(F.expr(f"""
         transform(array_sort(concat({base}, {added})), x -> struct(
-          {listed}[x.place] AS kind, x.start AS start, x.end AS end))""").alias("secrets")))
+          {listed}[x.place] AS kind, x.start AS start, x.end AS end))""").alias(name)))
 
 
 def _written(spans: str) -> Column:
@@ -196,10 +198,10 @@ def secret_report(docs: DataFrame, allowed: list[str] = ALLOWED) -> DataFrame:
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``df`` with every span replaced by ``mark``; spans that overlap become one mark."""
     names = df.columns
-    found = with_secrets(df, text)
+    found = with_secrets(df, text, name="__secrets")
     cleaned = f"""
-      CASE WHEN size(secrets) = 0 THEN `{text}` ELSE aggregate(
-        secrets,
+      CASE WHEN size(__secrets) = 0 THEN `{text}` ELSE aggregate(
+        __secrets,
         struct(CAST('' AS string) AS done, 0 AS at),
         (s, x) -> CASE WHEN x.end <= s.at THEN s ELSE struct(
           CASE WHEN x.start < s.at THEN s.done

@@ -283,7 +283,8 @@ def test_pipeline_stages(spark, sf_dir):
 
 def test_pipeline_takes_odd_rows(spark, sf_dir):
     rows, docs = random_docs(spark, 9)
-    docs = docs.withColumn("row", F.lit(1)).withColumn("score", F.lit(None).cast("double"))
+    names = ("row", "ranges", "secrets", "size", "taken", "fp", "tokens", "label", "kept", "first", "x")
+    docs = docs.withColumns({name: F.lit("own") for name in names}).withColumn("score", F.lit(None).cast("double"))
     for frame in (stored(docs, "odd"), stored(docs.limit(0), "none")):
         for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
             before, frame = frame, stored(stage(spark, frame, sf_dir), "odd-stage")

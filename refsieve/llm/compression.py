@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from refsieve.llm.common import mapped, split_of, texts_only
 from refsieve.llm.rules import sure_labels
+from refsieve.session import stored
 
 SAMPLE_ROWS, BLOCKS_PER_TEXT = 2_000, 3
 BLOCK, DICTIONARY, LEVEL = 2_048, 65_536, 3
@@ -87,25 +88,44 @@ def score_of(x: np.ndarray, model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_expand(x, model.mean, model.scale) @ np.array(model.weights), -30, 30)))
 
 
-def _logistic(x: np.ndarray, label: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
-    """Weights by Newton steps, both labels with the same total weight."""
+def _logistic(x: np.ndarray, label: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> np.ndarray:
+    """Weights by Newton steps, halved while they do not lower the loss; both labels weigh the same."""
     share = np.where(label > 0, 0.5 / label.mean(), 0.5 / (1 - label.mean()))
+    penalty = ridge * np.eye(x.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        return float((share * np.logaddexp(0, np.where(label > 0, -1, 1) * (x @ w))).sum() + w @ penalty @ w / 2)
+
     w = np.zeros(x.shape[1])
-    penalty = ridge * np.eye(len(w))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         gradient = x.T @ (share * (p - label)) + penalty @ w
-        hessian = (x * (share * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + penalty
-        w = w - np.linalg.solve(hessian, gradient)
+        hessian = (x * (share * p * (1 - p))[:, None]).T @ x + penalty
+        step, before = np.linalg.solve(hessian, gradient), loss(w)
+        while loss(w - step) > before and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
     return w
 
 
-def _dictionary(blocks: list[bytes]) -> bytes:
-    """Trained dictionary of a class, or its bare blocks where there is too little to train on."""
-    try:
-        return zstandard.train_dictionary(DICTIONARY, blocks).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(blocks)[-DICTIONARY:]
+def _dictionaries(good: list[bytes], bad: list[bytes]) -> list[bytes]:
+    """One dictionary of each class, trained on as many bytes and of one size.
+
+    Where there is too little to train on, the blocks themselves are the dictionary.
+    """
+    most = min(sum(map(len, good)), sum(map(len, bad)))
+    size = max(4_096, min(DICTIONARY, most // 8))
+    made = []
+    for blocks in (good, bad):
+        ends = np.cumsum([len(b) for b in blocks])
+        blocks = blocks[: int(np.searchsorted(ends, most)) + 1]
+        try:
+            made.append(zstandard.train_dictionary(size, blocks).as_bytes())
+        except zstandard.ZstdError:
+            made.append(b"".join(blocks)[-size:])
+    return made
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -130,11 +150,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model |
             label += [value] * len(picked)
         return {"label": pa.array(label, pa.int32()), "block": pa.array(block, pa.binary())}
 
-    found = mapped(sample.filter("builds"), "text", cut, "label int, block binary").orderBy("label", "block").toPandas()
+    found = mapped(sample.filter("builds"), "text", cut, "label int, block binary")
+    # Of an id with many rows no more than the bound comes to the driver, and that in one table.
+    found = stored(found.orderBy(F.xxhash64("block"), "block", "label").limit(2 * rows * BLOCKS_PER_TEXT), "blocks")
+    found = found.orderBy(F.xxhash64("block"), "block", "label").toPandas()
     held = [[bytes(b) for b in found["block"][found["label"] == v] if len(b)] for v in (1, 0)]
     if not (held[0] and held[1]):
         return None
-    good, bad = (_dictionary(blocks) for blocks in held)
+    good, bad = _dictionaries(*held)
     rest = mapped(
         sample.filter("NOT builds"), "text",
         lambda step: {
@@ -142,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model |
             "x": pa.array(list(_matrix(step.column("text"), good, bad)), pa.list_(pa.float64())),
         },
         "doc_id long, label int, x array<double>",
-    ).orderBy("doc_id", "x").toPandas()
+    ).orderBy(F.xxhash64("doc_id", "x"), "doc_id").limit(2 * rows).toPandas()
     label = rest["label"].to_numpy(np.float64)
     if len(np.unique(label)) < 2:
         return None

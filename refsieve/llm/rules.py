@@ -250,7 +250,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
             "x": pa.array(list(statistics(step.column("text"))["features"]), pa.list_(pa.float64())),
         },
         "doc_id long, label int, x array<double>",
-    ).orderBy("doc_id", "x").limit(2 * rows).toPandas()
+    ).orderBy(F.xxhash64("doc_id", "x"), "doc_id").limit(2 * rows).toPandas()
     if found.empty:
         return np.zeros((0, len(FEATURES))), np.zeros(0)
     return np.stack(found["x"].to_list()), found["label"].to_numpy(np.float64)

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.llm.common import mapped, split_of, texts_only
+from refsieve.llm.common import few, mapped, split_of, texts_only
 from refsieve.llm.rules import sure_labels
 from refsieve.session import stored
 
@@ -130,9 +130,9 @@ def _dictionaries(good: list[bytes], bad: list[bytes]) -> list[bytes]:
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """``doc_id, text, label, builds`` of the sample, dealt by a hash of the id in two halves."""
-    mark = F.xxhash64("doc_id")
     sure = sure_labels(labels, "quality").filter(split_of(F.col("doc_id"), 3) != 1)
-    chosen = [sure.filter(F.col("label") == v).orderBy(mark, "doc_id").limit(rows) for v in (0, 1)]
+    counts = dict(tuple(row) for row in sure.groupBy("label").count().collect())
+    chosen = [few(sure.filter(F.col("label") == v), counts.get(v, 0), rows, "doc_id") for v in (0, 1)]
     both = chosen[0].unionByName(chosen[1]).withColumn("builds", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 0)
     return texts_only(docs).join(F.broadcast(both), "doc_id")
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.llm.common import mapped, split_of
+from refsieve.llm.common import few, mapped, split_of
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 400
@@ -190,25 +190,25 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], Network |
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")
         & (split_of(F.col("doc_id").cast("long"), 3) != 1)
     )
-    languages = sorted(r[0] for r in known.select("lang").distinct().collect())
+    counts = dict(tuple(row) for row in known.groupBy("lang").count().collect())
+    languages = sorted(counts)
     if not languages:
         return [], None
-    mark = F.xxhash64("doc_id")
+    pieces = _stretches(known)
     parts = [
-        known.filter(F.col("lang") == name).select("lang", mark.alias("mark"), "text").orderBy("mark", "text").limit(rows)
-        for name in languages
+        few(pieces.filter(F.col("lang") == name), counts[name], rows, "doc_id", "piece") for name in languages
     ]
-    sample = pd.concat([_stretches(part).toPandas() for part in parts])
+    sample = pd.concat([part.toPandas() for part in parts])
     labels = np.array([languages.index(name) for name in sample["lang"]])
     return languages, train([bytes(t) for t in sample["piece"]], labels, len(languages))
 
 
 def _stretches(part: DataFrame, most: int = 4_096) -> DataFrame:
-    """A stretch of at most ``most`` bytes from the middle of each sampled text."""
+    """A stretch of at most ``most`` bytes from the middle of each text."""
     bytes_ = F.col("text").cast("binary")
     size = F.octet_length("text")
     start = F.greatest(F.lit(1), F.floor((size - most) / 2) + 1).cast("int")
-    return part.select("lang", F.substring(bytes_, start, F.lit(most)).alias("piece"))
+    return part.select("doc_id", "lang", F.substring(bytes_, start, F.lit(most)).alias("piece"))
 
 
 def predict(docs: DataFrame, languages: list[str], net: Network | None) -> DataFrame:

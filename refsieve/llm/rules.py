@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.llm.common import Words, mapped, split_of, steps, words_of
+from refsieve.llm.common import Words, few, mapped, split_of, steps, words_of
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -236,10 +236,8 @@ def sure_labels(labels: DataFrame, column: str) -> DataFrame:
 
 def sample_features(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``rows`` labelled documents, dealt by a hash of their id."""
-    chosen = (
-        sure_labels(labels, "quality").filter(split_of(F.col("doc_id"), 3) != 1)
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    )
+    sure = sure_labels(labels, "quality").filter(split_of(F.col("doc_id"), 3) != 1)
+    chosen = few(sure, sure.count(), rows, "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(chosen), "doc_id"
     )

@@ -25,7 +25,9 @@ from refsieve.llm.common import mapped, texts_only
 
 # States and remembered matches after which a worker starts its tables anew.
 MOST_STATES = 200_000
-MOST_MATCHES = 400_000
+MOST_MATCHES = 300_000
+# Text bytes that a worker encodes at a time.
+STEP = 1 << 20
 # Bytes of a match after which its state is remembered.
 HEAD = 5
 # A rank above all others.
@@ -69,13 +71,15 @@ class Transducer:
         self._restart()
 
     def _restart(self) -> None:
-        # A guess is (trie node, last token or -1, tokens not yet emitted). The guess at the root
-        # is the encoding of all that was read, and comes first.
-        self.states: list[tuple] = [((0, -1, ()),)]
+        # A guess is a trie node, the last token or -1, and the tokens not yet emitted; a state has
+        # its guesses one after the other in one tuple, which takes half the memory of nested ones.
+        # The guess at the root is the encoding of all that was read, and comes first.
+        self.states: list[tuple] = [(0, -1, ())]
         self.number = {self.states[0]: 0}
         self.heads: dict[bytes, tuple[int, tuple]] = {}
         self.follows.clear()
         self.moves: list[dict[int, tuple[int, tuple]]] = [{}]
+        self.no_moves: dict[int, tuple[int, tuple]] = {}
 
     def _spine(self, rank: int, side: int) -> list[int]:
         """The tokens that the first (``side`` 0) or last (-1) byte belongs to while merges build
@@ -126,34 +130,39 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple]:
         """Make the transition of a state on a byte: the next state and what is emitted."""
-        made, whole, child, ends, inner = [], None, self.child, self.ends, self.inner
-        for node, last, path in self.states[state]:
+        made, paths, whole, child, ends, inner = [], [], None, self.child, self.ends, self.inner
+        guesses = iter(self.states[state])
+        for node, last, path in zip(guesses, guesses, guesses):
             reached = child.get(node << 8 | byte)
             if reached is None:
                 continue
             rank = ends[reached]
             if whole is None and rank >= 0 and (last < 0 or self._may_follow(last, rank)):
-                whole = (0, rank, (*path, rank))
+                whole, done = rank, (*path, rank)
             if inner[reached]:
-                made.append((reached, last, path))
-        made.insert(0, whole)
-        first = whole[2]
-        agreed = min([len(guess[2]) for guess in made])
+                made += (reached, last, path)
+                paths.append(path)
+        agreed = min([len(done), *map(len, paths)])
         for at in range(agreed):
-            token = first[at]
-            if any([guess[2][at] != token for guess in made]):
+            token = done[at]
+            if any([path[at] != token for path in paths]):
                 agreed = at
                 break
-        emitted = first[:agreed]
+        emitted = done[:agreed]
         if agreed:
-            made = [(node, last, path[agreed:]) for node, last, path in made]
-        made = tuple(made)
+            done = done[agreed:]
+            made[2::3] = [path[agreed:] for path in paths]
+        made = (0, whole, done, *made)
         number = self.number.get(made)
         if number is None:
             number = self.number[made] = len(self.states)
             self.states.append(made)
-            self.moves.append({})
-        move = self.moves[state][byte] = number, emitted
+            self.moves.append(self.no_moves)
+        move = number, emitted
+        if self.moves[state] is self.no_moves:
+            self.moves[state] = {byte: move}
+        else:
+            self.moves[state][byte] = move
         return move
 
     def encode(self, match: bytes) -> tuple[int, ...]:
@@ -170,7 +179,7 @@ class Transducer:
             jump = self.heads[head] = self._walk(0, head)
         state, out = jump
         state, more = self._walk(state, match[HEAD:])
-        return out + more + self.states[state][0][2]
+        return out + more + self.states[state][2]
 
     def _walk(self, state: int, text: bytes) -> tuple[int, tuple[int, ...]]:
         """The state after ``text``, and all that is emitted on the way."""
@@ -234,10 +243,11 @@ class Codec:
 
         self.transducer = Transducer(parse_ranks(content))
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.decimal = {number: str(number) for number in self.transducer.token}
 
-    def _parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Tokens of each match, as numbers and as text."""
+    def encode(self, text: str) -> list[int]:
+        """Tokens of all matches."""
         matches = self.split(text)
         known, encode = self.known, self.transducer.encode
         if len(known) > MOST_MATCHES:
@@ -250,21 +260,13 @@ class Codec:
                     match = matches[at]
                     part = known.get(match)
                     if part is None:
-                        tokens = encode(match.encode("utf-8", "replace"))
-                        part = known[match] = tokens, " ".join(map(str, tokens))
+                        part = known[match] = encode(match.encode("utf-8", "replace"))
                     parts[at] = part
-        return parts
-
-    def encode(self, text: str) -> list[int]:
-        return self.encode_with_text(text)[0]
+        return list(chain.from_iterable(parts))
 
-    def encode_with_text(self, text: str) -> tuple[list[int], str]:
-        """The tokens, and their decimal numbers joined by spaces."""
-        parts = self._parts(text)
-        return (
-            list(chain.from_iterable([tokens for tokens, _ in parts])),
-            " ".join([written for _, written in parts]),
-        )
+    def written(self, tokens: Iterable[int]) -> str:
+        """Decimal numbers of the tokens, joined by spaces."""
+        return " ".join(map(self.decimal.__getitem__, tokens))
 
     def decode(self, tokens: Iterable[int]) -> str:
         return "".join(decode_stream(tokens, self.transducer.token))
@@ -291,7 +293,7 @@ def encode_documents(docs: DataFrame, content: bytes, pattern: str) -> DataFrame
             "decoded": pa.array([tool.decode(t) for t in tokens], pa.string()),
         }
 
-    return mapped(texts_only(docs), "text", run, "doc_id long, tokens array<int>, decoded string")
+    return mapped(texts_only(docs), "text", run, "doc_id long, tokens array<int>, decoded string", STEP)
 
 
 def digest_documents(docs: DataFrame, content: bytes, pattern: str) -> DataFrame:
@@ -301,9 +303,9 @@ def digest_documents(docs: DataFrame, content: bytes, pattern: str) -> DataFrame
         tool = codec(content, pattern)
         n, ids, back = [], [], []
         for text in step.column("text").to_pylist():
-            tokens, written = tool.encode_with_text(text or "")
+            tokens = tool.encode(text or "")
             n.append(len(tokens))
-            ids.append(hashlib.sha256(written.encode()).hexdigest())
+            ids.append(hashlib.sha256(tool.written(tokens).encode()).hexdigest())
             back.append(hashlib.sha256(tool.decode(tokens).encode()).hexdigest())
         return {
             "doc_id": step.column("doc_id"), "n_tokens": pa.array(n, pa.int64()),
@@ -312,7 +314,7 @@ def digest_documents(docs: DataFrame, content: bytes, pattern: str) -> DataFrame
 
     return mapped(
         texts_only(docs), "text", run,
-        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
+        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", STEP,
     )
 
 
@@ -332,5 +334,5 @@ def encoded_rows(docs: DataFrame, content: bytes, pattern: str) -> DataFrame:
 
     return mapped(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"),
-        "text", run, "doc_id long, source string, tokens array<int>, n_tokens long, exact boolean",
+        "text", run, "doc_id long, source string, tokens array<int>, n_tokens long, exact boolean", STEP,
     )

@@ -49,8 +49,8 @@ BUCKET_ROWS, LEAF = 4_096, 32
 _U = np.uint64
 
 
-def fingerprints(texts: pa.Array, width: int = SHINGLE) -> np.ndarray:
-    """The fingerprint of each text, as unsigned numbers."""
+def shingle_hashes(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts, and where those of a text begin."""
     words = words_of(texts, lower=True)
     n_texts, n = len(words.base) - 1, words.counts()
     # The same words again, one space after each, so that a shingle is a slice of bytes.
@@ -74,7 +74,14 @@ def fingerprints(texts: pa.Array, width: int = SHINGLE) -> np.ndarray:
         (digest(buffer[a:b], SEED) for a, b in zip(place[begin].tolist(), (place[last] - 1).tolist())),
         np.uint64, len(begin),
     )
-    out = np.zeros(n_texts, np.uint64)
+    return hashes, first
+
+
+def fingerprints(texts: pa.Array, width: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of each text, as unsigned numbers."""
+    hashes, first = shingle_hashes(texts, width)
+    per_text = np.diff(first)
+    out = np.zeros(len(per_text), np.uint64)
     some = np.flatnonzero(per_text)
     if not len(some):
         return out

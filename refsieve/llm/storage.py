@@ -1,4 +1,4 @@
-"""Disk of finished stages."""
+"""Disk of finished stages, and rows of a batch."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import SparkSession
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextmanager
@@ -17,12 +18,25 @@ def freed_early(spark: SparkSession) -> Iterator[None]:
     Meant for chains of stages that each write their result to the shared folder: what a stage
     shuffled is not read again.
     """
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    with _setting(spark, _CLEAN, "true"):
+        yield
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within, Python workers get at most ``rows`` rows at once; for rows that hold several texts."""
+    with _setting(spark, _BATCH, str(rows)):
+        yield
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_CLEAN)
+            spark.conf.unset(key)
         else:
-            spark.conf.set(_CLEAN, before)
+            spark.conf.set(key, before)

@@ -1,0 +1,142 @@
+"""Near-copies in the pipeline against brute-force Jaccard similarity."""
+
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from test_llm_corpus import WORD, kept_docs, random_docs
+
+import corpus_pipeline
+from refsieve.llm import jaccard, secrets
+from refsieve.session import stored
+
+
+def shingles(text, width=5):
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(words[i: i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+
+def alike_pairs(sets):
+    """All pairs with a Jaccard similarity of 4/5 or more, by comparing all that share a shingle."""
+    held, out = defaultdict(list), set()
+    for i, own in enumerate(sets):
+        for j, n in Counter(j for x in own for j in held[x]).items():
+            if 9 * n >= 4 * (len(own) + len(sets[j])):
+                out.add((j, i))
+        for x in own:
+            held[x].append(i)
+    return out
+
+
+def groups(sets):
+    group = list(range(len(sets)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    empty = [i for i, s in enumerate(sets) if not s]
+    for i, j in [*alike_pairs(sets), *zip(empty, empty[1:])]:
+        a, b = sorted((root(i), root(j)))
+        group[b] = a
+    return [root(i) for i in range(len(sets))]
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        at = rng.randrange(len(words))
+        words[at: at + rng.randint(0, 1)] = [f"z{rng.randrange(50)}"] * rng.randint(0, 1)
+    return words
+
+
+def near_copies(seed):
+    """Texts of all sizes with a few edits each, many of one text, and many that share one line."""
+    rng = random.Random(seed)
+    texts = [None, "", " \n"]
+    for size in [*range(1, 14), 30, 60, 150, 400] * 6:
+        base = [f"{rng.choice('abcdefgh')}{rng.randrange(40)}" for _ in range(size)]
+        texts += [" ".join(edited(rng, base, rng.randint(0, 1 + size // 25)) or ["x"]) for _ in range(3)]
+    base = [f"m{rng.randrange(500)}" for _ in range(200)]
+    texts += [" ".join(edited(rng, base, rng.randint(0, 6))) for _ in range(60)]
+    line = "one line that very many of these documents have in common"
+    texts += [" ".join([line, *(f"u{rng.randrange(10**6)}" for _ in range(30))]) for _ in range(60)]
+    return texts
+
+
+def one_of_each(rows):
+    """Ids that remain: the least of each group, none last."""
+    least = {}
+    for (doc_id, _, _), g in zip(rows, groups([shingles(t) for _, t, _ in rows])):
+        key = (doc_id is None, doc_id or 0)
+        least[g] = min(least.get(g, key), key)
+    return sorted(least.values())
+
+
+def test_near_copies_equal_brute_force_jaccard(spark, sf_dir):
+    rows = [(i, t, "s") for i, t in enumerate(near_copies(1))]
+    rows += [(None, rows[20][1], "s"), (3, rows[30][1], "s"), (3, rows[30][1], "t"), (None, "only one without id", "s")]
+    for given in (rows, random_docs(spark, 6)[0], []):
+        docs = kept_docs(spark, given)
+        kept = corpus_pipeline.near_dedup(spark, docs, sf_dir)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == one_of_each(given)
+
+
+def test_near_copies_of_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    sets = [shingles(t) for _, t, _ in rows]
+    assert any(sets[i] != sets[j] for i, j in alike_pairs(sets))
+    kept = jaccard.one_per_group(docs)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == one_of_each(rows)
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_signatures_and_verification_miss_no_pair(seed):
+    texts = near_copies(seed)
+    sets = [shingles(t) for t in texts]
+    hashes, first = jaccard.shingle_sets(pa.array(texts))
+    assert np.diff(first).tolist() == [len(s) for s in sets]
+    held = defaultdict(set)
+    for owner, sig in zip(*(x.tolist() for x in jaccard.signatures(hashes, first))):
+        held[sig].add(owner)
+    candidates = sorted({(a, b) for same in held.values() for a in same for b in same if a < b})
+    a, b = (pa.array([texts[i] for i in side]) for side in zip(*candidates))
+    found = {pair for pair, holds in zip(candidates, jaccard.alike(a, b)) if holds}
+    assert found == alike_pairs(sets)
+    bits, (a, b) = jaccard.parities(hashes, first), map(np.array, zip(*candidates))
+    close = jaccard.may_be_alike(bits.take(pa.array(a)), bits.take(pa.array(b)), np.diff(first)[a] + np.diff(first)[b])
+    assert found <= {pair for pair, holds in zip(candidates, close) if holds}
+
+
+def test_a_large_group_is_paired_across_what_is_near(spark):
+    # Of 40 sets under one signature only the first and the last are alike.
+    shared = " ".join(f"s{i}" for i in range(44))
+    texts = [f"{shared} e0"] + [f"{shared} " + " ".join(f"v{k}_{j}" for j in range(12)) for k in range(38)] + [f"{shared} e1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "__row long, text string")
+    hashes, first = jaccard.shingle_sets(pa.array(texts))
+    names, bits = jaccard.digests(hashes, first).tolist(), jaccard.parities(hashes, first).to_pylist()
+    rows = [(n, i, int(s), b) for i, (n, s, b) in enumerate(zip(names, np.diff(first), bits))]
+    nodes = spark.createDataFrame(rows, "node long, __row long, size int, bits binary")
+    links = {tuple(sorted(map(names.index, r))) for r in jaccard.similar_links(docs, nodes).collect()}
+    assert links == alike_pairs([shingles(t) for t in texts]) == {(0, 39)}
+
+
+def test_stages_after_exact_near_copies(spark, sf_dir):
+    docs = given = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    seen = []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, sf_dir), "stage")
+        seen.append(docs)
+    first, second, third, fourth, last = seen
+    assert all(x.columns == given.columns for x in seen[:4])
+    sets = [shingles(r.text) for r in first.collect()]
+    assert second.count() == len(set(groups(sets))) < len(set(sets)) < first.count() < given.count()
+    assert third.count() == second.count()
+    assert secrets.secret_report(third).filter("n_access + n_hex > 0").count() == 0
+    assert last.count() == fourth.count() and last.filter("NOT exact").count() == 0
+    assert corpus_pipeline.run(spark, sf_dir).count() == last.count()

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-Words are dealt in blocks of equal size. The whole mix is a number of blocks, and these go to the
-sources by highest quotients of their targets, then from each source to its shards by highest
+Words are dealt in blocks of equal size; only a source whose target is too small for that has finer
+blocks, of its own. The mix of all sources with one block size is a number of blocks, and these go to
+the sources by highest quotients of their targets, then from each source to its shards by highest
 quotients of the shards' sizes. A shard is a slice of a source by a seeded hash of the document, so
 a large source is many shards and no task holds one whole. In a shard the documents lie in seeded
 order as one stream of words, cut into blocks. Its quota is taken as whole passes over all blocks,
@@ -35,7 +36,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
 SEED = 20_240
-# Words of a block, fewer if the smallest target would get less than this many blocks.
+# Words of a block, fewer for a source whose own target would get less than this many blocks.
 BLOCK_WORDS, LEAST_BLOCKS = 64, 64
 # Words that a shard should hold, and most shards of a source.
 SHARD_WORDS, MOST_SHARDS = 32_768, 65_536
@@ -108,12 +109,12 @@ def _draws(shard: int, source: int, n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.Philox(key=[seed, (source << 32) | shard])).random(n)
 
 
-def _select(group: pd.DataFrame, block: int, cap: float, seed: int, spans: bool) -> pd.DataFrame:
+def _select(group: pd.DataFrame, seed: int, spans: bool) -> pd.DataFrame:
     """Words taken of each document of a shard; with ``spans`` the ranges of words, per pass."""
     group = group.sort_values(["__order", "__doc", "size"], kind="stable")
     size = group["size"].to_numpy(np.int64)
     ends = np.cumsum(size)
-    total, quota = int(ends[-1]), int(group["__quota"].iloc[0])
+    total, quota, block = int(ends[-1]), int(group["__quota"].iloc[0]), int(group["__block"].iloc[0])
     group["taken"], ranges = 0, [[] for _ in size]
     if total and quota:
         times = take(size, quota, block, _draws(
@@ -172,20 +173,24 @@ class Mix:
         self.sources = self.sources.sort_values("key").drop(columns="key").reset_index(drop=True)
         sizes = [int(s) for s in self.sources["source_size"]]
         target = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, cap)
-        least = min((t for t in target if t > 0), default=0)
-        self.block = max(1, min(block, int(least) // LEAST_BLOCKS))
-        most = [int(cap * s) // self.block + 1 for s in sizes]
-        quota = sainte_lague(target, round(sum(target) / self.block), most)
+        blocks = [max(1, min(block, int(t) // LEAST_BLOCKS)) for t in target]
+        quota = [0] * len(sizes)
+        for own in set(blocks):
+            alike = [i for i, b in enumerate(blocks) if b == own]
+            votes, most = [target[i] for i in alike], [int(cap * sizes[i]) // own + 1 for i in alike]
+            for i, seats in zip(alike, sainte_lague(votes, round(sum(votes) / own), most)):
+                quota[i] = seats
         shards = [max(1, min(MOST_SHARDS, _blocks(s, SHARD_WORDS))) for s in sizes]
         self.sources = self.sources.assign(
-            source_size=sizes, target=target, __source=range(len(sizes)), __seats=quota, __shards=shards
+            source_size=sizes, target=target, __source=range(len(sizes)), __seats=quota, __shards=shards,
+            __block=blocks,
         )
 
     def _named(self) -> DataFrame:
-        schema = "__name string, source_size long, target double, __source long, __seats long, __shards long"
+        schema = "__name string, source_size long, target double, __source long, __seats long, __shards long, __block long"
         rows = [
-            (None if n is None else str(n), int(s), float(t), int(i), int(q), int(c))
-            for n, s, t, i, q, c in self.sources.itertuples(index=False)
+            (None if n is None else str(n), int(s), float(t), int(i), int(q), int(c), int(b))
+            for n, s, t, i, q, c, b in self.sources.itertuples(index=False)
         ]
         return self.spark.createDataFrame(rows, schema)
 
@@ -196,14 +201,14 @@ class Mix:
         order = F.xxhash64("doc_id", F.lit(self.seed))
         rows = rows.withColumn("__order", order).withColumn("__doc", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))
         rows = rows.withColumn("__shard", F.pmod(F.xxhash64("__order"), F.col("__shards")))
-        shards = rows.groupBy("__source", "__seats", "__shard").agg(F.sum("size").alias("words"))
-        block, cap = self.block, self.cap
+        shards = rows.groupBy("__source", "__seats", "__block", "__shard").agg(F.sum("size").alias("words"))
+        cap = self.cap
 
         def deal(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("__shard")
             words = [int(w) for w in group["words"]]
             # No more than ``cap`` passes over the blocks of a shard.
-            most = [int(cap) * _blocks(w, block) for w in words]
+            most = [int(cap) * _blocks(w, int(group["__block"].iloc[0])) for w in words]
             group["__quota"] = sainte_lague(words, int(group["__seats"].iloc[0]), most)
             return group[["__source", "__shard", "__quota"]]
 
@@ -212,9 +217,9 @@ class Mix:
 
     def report(self) -> DataFrame:
         """``doc_id, size, source_size, target, taken`` of every document."""
-        block, cap, seed = self.block, self.cap, self.seed
+        seed = self.seed
         taken = self._dealt().groupBy("__source", "__shard").applyInPandas(
-            lambda group: _select(group, block, cap, seed, False),
+            lambda group: _select(group, seed, False),
             "__row long, doc_id long, __name string, size long, taken long",
         )
         named = F.broadcast(self._named().withColumnRenamed("__name", "__key"))
@@ -224,9 +229,9 @@ class Mix:
 
     def ranges(self) -> DataFrame:
         """``__row, taken, ranges``: which words of each document, per pass."""
-        block, cap, seed = self.block, self.cap, self.seed
+        seed = self.seed
         return self._dealt().groupBy("__source", "__shard").applyInPandas(
-            lambda group: _select(group, block, cap, seed, True),
+            lambda group: _select(group, seed, True),
             "__row long, taken long, ranges array<array<long>>",
         )
 

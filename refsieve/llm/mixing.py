@@ -3,14 +3,15 @@
 Words are dealt in blocks of equal size; only a source whose target is too small for that has finer
 blocks, of its own. The mix of all sources with one block size is a number of blocks, and these go to
 the sources by highest quotients of their targets, then from each source to its shards by highest
-quotients of the shards' sizes. A shard is a slice of a source by a seeded hash of the document, so
-a large source is many shards and no task holds one whole. In a shard the documents lie in seeded
+quotients of the shards' sizes. A shard is a slice of a source by a seeded hash of the document's id
+and text, so a large source is many shards and no task holds one whole, also where ids are missing or
+repeated. In a shard the documents lie in seeded
 order as one stream of words, cut into blocks. Its quota is taken as whole passes over all blocks,
 then the blocks that a seeded hash puts first, so that no word is taken more than twice.
 
 Size 1 row per source and shard is all that is apportioned on the driver and in one task per
 source: shards of a source are at most ``MOST_SHARDS``. Ties go to the source or shard that comes
-first, and documents are ordered by hash, id and size, so reruns agree.
+first, and documents are ordered by hash, id, size and hash of the text, so reruns agree.
 
 Defined results: a null text has size 0 and nothing taken. Sources of size 0 get target 0. Rows of
 one id are documents of their own.
@@ -111,7 +112,7 @@ def _draws(shard: int, source: int, n: int, seed: int) -> np.ndarray:
 
 def _select(group: pd.DataFrame, seed: int, spans: bool) -> pd.DataFrame:
     """Words taken of each document of a shard; with ``spans`` the ranges of words, per pass."""
-    group = group.sort_values(["__order", "__doc", "size"], kind="stable")
+    group = group.sort_values(["__order", "__doc", "size", "__mark"], kind="stable")
     size = group["size"].to_numpy(np.int64)
     ends = np.cumsum(size)
     total, quota, block = int(ends[-1]), int(group["__quota"].iloc[0]), int(group["__block"].iloc[0])
@@ -152,12 +153,13 @@ def _ranges(times: np.ndarray, block: int, start: int, end: int) -> list[list[in
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    """Slim rows: row number, id, source and size of each document."""
+    """Slim rows: row number, id, source, size and a hash of id and text of each document."""
     row = F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
     return docs.select(
         row.alias("__row"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("__name"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.col("doc_id").cast("long"), "text").alias("__mark"),
     )
 
 
@@ -200,7 +202,7 @@ class Mix:
         rows = self.rows.join(named, F.col("__name").eqNullSafe(F.col("__key"))).drop("__key")
         order = F.xxhash64("doc_id", F.lit(self.seed))
         rows = rows.withColumn("__order", order).withColumn("__doc", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))
-        rows = rows.withColumn("__shard", F.pmod(F.xxhash64("__order"), F.col("__shards")))
+        rows = rows.withColumn("__shard", F.pmod(F.xxhash64("__order", "__mark"), F.col("__shards")))
         shards = rows.groupBy("__source", "__seats", "__block", "__shard").agg(F.sum("size").alias("words"))
         cap = self.cap
 

@@ -20,7 +20,7 @@ def word_hashes(words: Words, seed: int) -> np.ndarray:
     return np.fromiter((digest(w, seed) for w in distinct.to_pylist()), np.uint64, len(distinct))[code]
 
 
-def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * _A + (b ^ (b >> _U(29))) * _B
     x ^= x >> _U(32)
     x *= _A
@@ -31,14 +31,14 @@ def run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of ``width`` words from each word on; ``width`` is a power of two."""
     size = 1
     while size < width:
-        hashes = _mixed(hashes[:-size], hashes[size:]) if len(hashes) > size else hashes[:0]
+        hashes = mixed(hashes[:-size], hashes[size:]) if len(hashes) > size else hashes[:0]
         size *= 2
     return hashes
 
 
 def spans_hash(wide: np.ndarray, width: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Hash of ``size`` words from ``start`` on, for ``width <= size <= 2 * width``."""
-    return _mixed(_mixed(wide[start], wide[start + size - width]), size.astype(np.uint64))
+    return mixed(mixed(wide[start], wide[start + size - width]), size.astype(np.uint64))
 
 
 class Paths(NamedTuple):

@@ -4,9 +4,9 @@ Every stage reads all rows that the one before it kept, and its result is writte
 shared folder and read again. All stages but the last return the columns of ``documents``.
 
 1. ``quality_rules`` drops documents that the base rule or the fitted trees reject.
-2. ``near_dedup`` keeps one document of each group of near-copies, linked by a Jaccard similarity
-   of 0.8 or more of their shingles of five words: the one with the least id; of rows with that
-   id, one.
+2. ``near_dedup`` keeps one document of each group of near-copies, linked by SimHash fingerprints of
+   their shingles of three words that differ in two bits at most: the one with the least id; of
+   rows with that id, one.
 3. ``secret_scan`` replaces every secret by a mark.
 4. ``mix_sources`` repeats and cuts documents, so that sources have the words of their targets. A
    document has one row per pass that takes words of it; the text of a row is the taken stretches,
@@ -22,7 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refsieve.llm import bpe, jaccard, mixing, rules, secrets
+from refsieve.llm import bpe, mixing, rules, secrets, simhash
 from refsieve.llm.common import table
 from refsieve.session import stored
 
@@ -35,7 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies."""
-    return jaccard.one_per_group(docs)
+    return simhash.one_per_group(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("near-dedup by Jaccard similarity", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("secret scans", secret_scan),
     ("mixing sources to target weights", mix_sources),
     ("byte-level BPE encoding and decoding", encode),

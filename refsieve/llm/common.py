@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from refsieve.session import stored
+
 # A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 # Text bytes that one step of a Python worker holds at once; a longer text is a step of its own.
@@ -47,6 +49,23 @@ def texts_only(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
+def free_name(name: str, *taken: str) -> str:
+    """``name``, with as many underscores before it as no column of ``taken`` has."""
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number per row, written once, and the name of its column.
+
+    The numbers follow how files are split, and that may change from one scan to the next; so rows
+    that are joined by number read the one copy that has it.
+    """
+    row = free_name("row", *docs.columns)
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 class Words(NamedTuple):
     """Words of a batch of texts, as places in one buffer of bytes.
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from refsieve.llm.common import WORD, steps
+from refsieve.llm.common import WORD, free_name, numbered, steps
 from refsieve.session import stored
 
 WEIGHTS = (3, 1, 2)
@@ -152,11 +152,10 @@ def _ranges(times: np.ndarray, block: int, start: int, end: int) -> list[list[in
     return out
 
 
-def _sized(docs: DataFrame) -> DataFrame:
+def _sized(docs: DataFrame, number: str | None) -> DataFrame:
     """Slim rows: row number, id, source, size and a hash of id and text of each document."""
-    row = F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
     return docs.select(
-        row.alias("__row"), F.col("doc_id").cast("long").alias("doc_id"),
+        (F.col(number) if number else F.lit(0).cast("long")).alias("__row"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("__name"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.col("doc_id").cast("long"), "text").alias("__mark"),
@@ -166,9 +165,11 @@ def _sized(docs: DataFrame) -> DataFrame:
 class Mix:
     """Targets, quotas and selection for one table of documents; see the module's text."""
 
-    def __init__(self, docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED, block=BLOCK_WORDS):
+    def __init__(
+        self, docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED, block=BLOCK_WORDS, number=None
+    ):
         self.spark, self.cap, self.seed = docs.sparkSession, cap, seed
-        self.rows = stored(_sized(docs), "mix-sizes")
+        self.rows = stored(_sized(docs, number), "mix-sizes")
         # One row per source.
         self.sources = self.rows.groupBy("__name").agg(F.sum("size").alias("source_size")).toPandas()
         self.sources["key"] = [(n is None, (n or "").encode()) for n in self.sources["__name"]]
@@ -230,7 +231,7 @@ class Mix:
         )
 
     def ranges(self) -> DataFrame:
-        """``__row, taken, ranges``: which words of each document, per pass."""
+        """``__row, taken, ranges``: which words of each document, per pass; ``__row`` is its number."""
         seed = self.seed
         return self._dealt().groupBy("__source", "__shard").applyInPandas(
             lambda group: _select(group, seed, True),
@@ -251,18 +252,20 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """Documents of the mix, with all columns of ``docs``: a row per pass that takes words of one.
 
     A pass that takes a whole document gives its text as it is, others the taken stretches.
-    ``docs`` must be a stored table, which reads the same each time.
     """
     names = docs.columns
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    taken = Mix(numbered).ranges().filter("taken > 0").select("__row", F.col("ranges").alias("__ranges"))
-    schema = T.StructType([T.StructField("__pass", T.IntegerType()), *docs.schema.fields])
+    given, number = numbered(docs)
+    ranges_, pass_ = free_name("ranges", *given.columns), free_name("pass", *given.columns)
+    taken = Mix(given, number=number).ranges().filter("taken > 0").select(
+        F.col("__row").alias(number), F.col("ranges").alias(ranges_)
+    )
+    schema = T.StructType([T.StructField(pass_, T.IntegerType()), *docs.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches):
             owner, turns, texts = [], [], []
             for i, (text, ranges) in enumerate(
-                zip(step.column("text").to_pylist(), step.column("__ranges").to_pylist())
+                zip(step.column("text").to_pylist(), step.column(ranges_).to_pylist())
             ):
                 for turn, cut in _cut(text, ranges):
                     owner.append(i)
@@ -270,6 +273,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
                     texts.append(cut)
             rows = step.select(names).take(pa.array(owner, pa.int64()))
             columns = [pa.array(texts, rows.schema.field(n).type) if n == "text" else rows.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([pa.array(turns, pa.int32()), *columns], ["__pass", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(turns, pa.int32()), *columns], [pass_, *names])
 
-    return numbered.join(taken, "__row").drop("__row").mapInArrow(run, schema).select(*names)
+    return given.join(taken, number).drop(number).mapInArrow(run, schema).select(*names)

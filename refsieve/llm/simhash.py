@@ -35,14 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.llm.common import mapped, words_of
+from refsieve.llm.common import mapped, numbered, words_of
 from refsieve.llm.components import components
 from refsieve.session import stored
 
 BITS, SEED = 64, 42
 SHINGLE, RADIUS = 3, 2
-# Words of a shingle where near-copies are dropped.
-WORDS_ALIKE = 5
 # Fingerprints of a bucket that one task compares; of a leaf.
 BUCKET_ROWS, LEAF = 4_096, 32
 
@@ -324,32 +322,31 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, buc
 
 
 def one_per_group(
-    docs: DataFrame, width: int = WORDS_ALIKE, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS,
+    docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """One row of each group of near-copies, with all columns of ``docs``.
 
-    It is the row with the least id (none last), of several the one that the scan reads first. Only
-    rows' places, ids and fingerprints are shuffled; ``docs`` must be a stored table, which reads
-    the same each time.
+    It is the row with the least id (none last), of several the one that was numbered first. Only
+    rows' numbers, ids and fingerprints are shuffled.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    slim = numbered.select("__row", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    given, number = numbered(docs)
+    slim = given.select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(
         mapped(
             slim, "text",
             lambda step: {
-                "__row": step.column("__row"), "doc_id": step.column("doc_id"),
+                "row": step.column("row"), "doc_id": step.column("doc_id"),
                 "fp": fingerprints(step.column("text"), width).view(np.int64),
             },
-            "__row long, doc_id long, fp long",
+            "row long, doc_id long, fp long",
         ),
         "fingerprints",
     )
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     first = rows.groupBy("fp").agg(F.min(order).alias("first"))
     groups = _groups(rows, radius, bucket_rows).select("fp", "root")
-    kept = first.join(groups, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.__row")
-    return numbered.join(kept, "__row", "left_semi").drop("__row")
+    kept = first.join(groups, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(number))
+    return given.join(kept, number, "left_semi").drop(number)
 
 
 def near_report(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -17,8 +17,8 @@ Source coordinates verify what hashes say: at every place the words are hashed a
 seed, and a path counts as repeated only if all its places agree; else it is expanded into edges,
 which carry both hashes as their key.
 
-Rows are told apart by the place they have in the scan, so ``docs`` must be a stored table, which
-reads the same each time. Intermediates are written to the shared folder.
+Rows are told apart by a number that is written once, with id and text. Intermediates are written to
+the shared folder.
 
 Defined results: a null or empty text has no words, nothing removed, and the digest of an empty
 text. Rows of one id are documents of their own, and copies of each other.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refsieve.llm.common import Words, mapped, words_of
+from refsieve.llm.common import Words, mapped, numbered, texts_only, words_of
 from refsieve.llm.storage import freed_early
 from refsieve.llm.windows import anchored_paths, run_hashes, spans_hash, word_hashes
 from refsieve.session import stored
@@ -51,12 +51,6 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
-    )
-
-
 def paths(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """``row, first, count, anchor, path, proof``: all paths of all texts, with both hashes."""
     wide = _wide(window)
@@ -187,7 +181,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dig
 
     With ``digest`` the SHA-256 of ``kept`` comes in its place, as ``kept_sha256``.
     """
-    docs = _numbered(docs)
+    docs, _ = numbered(texts_only(docs))
     with freed_early(docs.sparkSession):
         found = stored(paths(docs, window, gram), "paths")
         kinds = stored(path_kinds(found), "path-kinds")

@@ -9,9 +9,10 @@ have equal anchors. Successive windows under one anchor are a path, at most twic
 
 1. Documents are written once, in groups of about ``GROUP_BYTES``, and are named by group and place
    in it from then on. A long text is a group of its own and is read in overlapping pieces.
-2. Which anchors are found in more than one document? Groups deal their anchors, packed five bytes
-   each, over buckets; a bucket answers with a bit per anchor. This only rules out: an anchor let
-   through by a collision costs time.
+2. Which anchors are found in more than one document, with what stands around them? Two places
+   that share a window share half of its other bytes before the anchor, or half of them behind it.
+   Groups deal the hashes of both halves, packed five bytes each, over buckets; a bucket answers
+   with a bit per hash. This only rules out: a path let through by a collision costs time.
 3. Paths of the remaining anchors become rows, without their bytes, and are counted by anchor and hash of
    their bytes, so that copies of a path are one row with its least id.
 4. The different paths of an anchor are read from their groups and go to the tasks of their
@@ -57,21 +58,25 @@ DOCUMENT_ROWS, GROUP_ROWS = 2_000, 4
 
 _U = np.uint64
 _PLACE = _U((1 << 24) - 1)
+NO_CODE = _U(0)
 # A path's place in its group: text, first byte and number of windows in one long.
 _TEXT, _FIRST = 37, 6
 
 
 class Found(NamedTuple):
-    """Paths of a group: the text and byte they begin at, their windows, anchor and hash."""
+    """Paths of a group: the text and byte they begin at, their windows, anchor and hash.
+
+    ``before`` and ``behind`` are codes of the anchor with half of a window's other bytes on one
+    side, or ``NO_CODE`` where the text ends there.
+    """
 
     text: np.ndarray
     first: np.ndarray
     count: np.ndarray
     anchor: np.ndarray
     path: np.ndarray
-
-    def codes(self) -> np.ndarray:
-        return mixed(self.anchor, np.full(len(self.anchor), 11, _U)) >> _U(64 - 8 * CODE_BYTES)
+    before: np.ndarray
+    behind: np.ndarray
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -113,13 +118,13 @@ def _found(data: np.ndarray, base: np.ndarray, window: int, gram: int) -> Found:
     size, grams = 8, None
     while True:
         if size == gram:
-            grams = run[:n]
+            grams = run
         if size == wide:
             break
         run = mixed(run[:-size], run[size:])
         size *= 2
     # The least hash, the first of equals: places are below the bits that are compared.
-    least = (grams & ~_PLACE) | np.arange(n, dtype=_U)
+    least = (grams[:n] & ~_PLACE) | np.arange(n, dtype=_U)
     width, size = window - gram + 1, 1
     while 2 * size <= width and len(least) > size:
         least = np.minimum(least[:-size], least[size:])
@@ -143,7 +148,19 @@ def _found(data: np.ndarray, base: np.ndarray, window: int, gram: int) -> Found:
     parts = [run[first + last * k // 3] for k in range(4)]
     path = mixed(mixed(parts[0], parts[1]), mixed(mixed(parts[2], parts[3]), count.astype(_U)))
     text = np.searchsorted(base, first, "right") - 1
-    return Found(text, first, count, grams[least[first]] if n else np.zeros(0, _U), path)
+    anchor = least[first]
+    half = (window - gram + 1) // 2
+
+    def code(at: np.ndarray, seed: int) -> np.ndarray:
+        """Code of the anchor and ``half`` bytes at one side, which begin at ``at`` together."""
+        within = (at >= base[text]) & (at + gram + half <= base[text + 1])
+        at = np.where(within, at, 0)
+        found = np.full(len(at), seed, _U)
+        for k in [*range(0, half, gram), half]:
+            found = mixed(found, grams[at + k])
+        return np.where(within, (found >> _U(64 - 8 * CODE_BYTES)) | _U(1), NO_CODE)
+
+    return Found(text, first, count, grams[anchor], path, code(anchor - half, 1), code(anchor, 2))
 
 
 def found_paths(data: np.ndarray, base: np.ndarray, window: int, gram: int) -> Found:
@@ -170,8 +187,10 @@ def _named(row: dict, window: int, gram: int) -> tuple[Found, np.ndarray]:
 
 
 def _packed_codes(found: Found, ids: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors' codes by bucket and value; whether several documents of the group have it; its bucket."""
-    codes, rank = found.codes(), np.unique(ids, return_inverse=True)[1].astype(_U)
+    """Codes of a group by bucket and value; whether several of its documents have one; its bucket."""
+    rank = np.unique(ids, return_inverse=True)[1].astype(_U)
+    codes, rank = np.concatenate([found.before, found.behind]), np.concatenate([rank, rank])
+    codes, rank = codes[codes != NO_CODE], rank[codes != NO_CODE]
     # Codes and documents of a group fit into one number.
     pairs = np.unique((codes << _U(24)) | rank) >> _U(24)
     codes, times = np.unique(pairs, return_counts=True)
@@ -198,14 +217,14 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def bucket_count(groups: DataFrame, window: int, gram: int) -> int:
-    """Buckets of about ``BUCKET_BYTES`` for the anchors of all texts: two paths a window's room for grams."""
+    """Buckets of about ``BUCKET_BYTES`` for two codes of each path: two paths a window's room for grams."""
     size = F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t))
     total = groups.agg(F.sum(size)).first()[0] or 0
-    return 1 + int(2 * total / (window - gram + 2) * CODE_BYTES) // BUCKET_BYTES
+    return 1 + int(4 * total / (window - gram + 2) * CODE_BYTES) // BUCKET_BYTES
 
 
 def shared_anchors(groups: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
-    """``grp, shared``: per bucket, bits that say which anchors of the group other documents have too."""
+    """``grp, shared``: per bucket, bits that say which codes of the group other documents have too."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["grp", "bucket", "once", "often"]
@@ -240,7 +259,7 @@ def shared_anchors(groups: DataFrame, window: int, gram: int, buckets: int) -> D
 
 
 def paths(groups: DataFrame, shared: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
-    """``anchor, path, doc_id, grp, spot``: paths whose anchor several documents have."""
+    """``anchor, path, doc_id, grp, spot``: paths of which several documents have a code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "path", "doc_id", "grp", "spot"]
@@ -251,7 +270,7 @@ def paths(groups: DataFrame, shared: DataFrame, window: int, gram: int, buckets:
             for part in row["shared"].as_py():
                 own = (bucket == part["bucket"]) & ~several
                 hit[own] = np.unpackbits(np.frombuffer(part["bits"], np.uint8), count=int(own.sum())).astype(bool)
-            left = np.isin(found.codes(), codes[hit])
+            left = np.isin(found.before, codes[hit]) | np.isin(found.behind, codes[hit])
             spot = (found.text << _TEXT) | (found.first << _FIRST) | found.count
             grp = np.full(len(ids), row["grp"].as_py())
             columns = [found.anchor.view(np.int64), found.path.view(np.int64), ids, grp, spot]

@@ -1,0 +1,169 @@
+"""Exact candidate pairs of titles by classes of length.
+
+Two titles that are alike have lengths within ``threshold`` of each other, so they meet in the pair
+of classes that their lengths fall into. The shorter one plays one role there, the longer one the
+other, and both know from the classes how alike the two have to be:
+
+* ``prefix_pairs``: the overlap that a pair of lengths needs fixes how many of the rarest tokens
+  of each side suffice. A signature is a class pair and a token. Against a partner of equal length a
+  title needs about half as many tokens as against the shortest partner it can have.
+* ``segment_pairs``: within ``k`` edits, one of ``k + 1`` pieces of the shorter title is found in
+  the longer one unchanged, the ``j``-th with at most ``j`` edits before it, so moved by at most
+  ``j`` places. A signature is a class pair, the number of the piece and its characters. Pieces of
+  long titles match by chance at one of their many places, so this is for titles up to a length.
+
+Both find every pair, once or several times; what they return is distinct. ``segmented`` says which
+class pairs go by pieces: those of titles up to a length whose pieces have two characters or more.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+RATIO = 1.1
+ROWS_PER_BLOCK = 20_000
+SLACK = 1e-9
+# Characters that a piece needs to tell titles apart.
+LEAST_PIECE = 2
+
+Needed = Callable[[Column, Column], Column]
+
+
+def class_of(size: Column, ratio: float = RATIO) -> Column:
+    """Number of the class of a length; a class ends about ``ratio`` times where it begins."""
+    return F.floor(F.log(size.cast("double")) / math.log(ratio) + SLACK).cast("int")
+
+
+def class_start(number: Column, ratio: float = RATIO) -> Column:
+    """No more than any length of the class; the slack is ten times that of ``class_of``."""
+    return F.ceil(F.exp(number * math.log(ratio)) * (1 - 10 * SLACK)).cast("int")
+
+
+def class_end(number: Column, ratio: float = RATIO) -> Column:
+    """No less than any length of the class."""
+    return F.floor(F.exp((number + 1) * math.log(ratio)) * (1 + 10 * SLACK)).cast("int")
+
+
+def _roles(records: DataFrame, threshold: float, ratio: float, columns: Sequence[str]) -> DataFrame:
+    """A row per record and class pair ``low, high`` in which it may find a partner.
+
+    ``short``: it is the shorter one there, or of equal length. ``least`` and ``most`` bound the
+    partner's size, ``shortest`` and ``longest`` all sizes of the class pair.
+    """
+    size = F.col("size")
+    last = F.floor(size / threshold + SLACK).cast("int")
+    first = F.greatest(F.ceil(size * threshold - SLACK).cast("int"), F.lit(1))
+
+    def role(low: Column, high: Column, short: bool, least: Column, most: Column) -> Column:
+        return F.struct(
+            low.alias("low"), high.alias("high"), F.lit(short).alias("short"), least.alias("least"), most.alias("most"),
+            class_start(low, ratio).alias("shortest"), class_end(high, ratio).alias("longest"),
+        )
+
+    own = class_of(size, ratio)
+    as_short = F.transform(F.sequence(own, class_of(last, ratio)), lambda c: role(
+        own, c, True, F.greatest(class_start(c, ratio), size), F.least(class_end(c, ratio), last)))
+    as_long = F.transform(F.sequence(class_of(first, ratio), own), lambda c: role(
+        c, own, False, F.greatest(class_start(c, ratio), first), F.least(class_end(c, ratio), size)))
+    return records.select("id", "size", *columns, F.inline(F.concat(as_short, as_long))).filter("least <= most")
+
+
+def _edits(threshold: float) -> Column:
+    """Edits allowed in a class pair."""
+    return F.floor(F.col("longest") * (1 - threshold) + SLACK).cast("int")
+
+
+def segmented(threshold: float, most: int) -> Column:
+    """Whether titles of a class pair are joined by pieces."""
+    return (F.col("longest") <= most) & (F.floor(F.col("shortest") / (_edits(threshold) + 1)) >= LEAST_PIECE)
+
+
+def _met(signed: DataFrame, keys: Sequence[str], carried: Sequence[str], possible: Callable) -> DataFrame:
+    """Distinct ``id1 < id2`` of short and long rows that share all ``keys``."""
+    sides = {
+        side: signed.filter(F.col("short") if side == "1" else ~F.col("short")).select(
+            *keys, *[F.col(c).alias(f"{c}{side}") for c in ("id", "size", *carried)]
+        )
+        for side in "12"
+    }
+    ordered = (F.col("size1") < F.col("size2")) | ((F.col("size1") == F.col("size2")) & (F.col("id1") < F.col("id2")))
+    met = sides["1"].join(sides["2"], list(keys)).filter(
+        ordered & possible(lambda c: F.col(f"{c}1"), lambda c: F.col(f"{c}2"))
+    )
+    return met.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).distinct()
+
+
+def prefix_pairs(
+    records: DataFrame, threshold: float, needed: Needed, numbers: Sequence[str], possible: Callable,
+    most_by_pieces: int = 0, ratio: float = RATIO, rows_per_block: int | None = None,
+) -> DataFrame:
+    """Pairs that may overlap in ``needed(size1, size2)`` tokens; ``needed`` grows with both sizes.
+
+    ``records`` has ``id, size, prefix`` (``array<struct<freq, token>>``, rarest first, long enough for
+    the shortest partner) and the columns ``numbers``. ``possible`` states a cheap condition on a
+    pair from these, ``size`` and ``pos``, the place of the shared token; it must hold for the first
+    token that a pair shares. Class pairs that are ``segmented`` up to ``most_by_pieces`` are left
+    out. Tokens of many titles are dealt over blocks, every two of which meet in a cell.
+    """
+    roles = _roles(records, threshold, ratio, ["prefix", *numbers])
+    roles = roles.filter(~segmented(threshold, most_by_pieces)) if most_by_pieces else roles
+    # The least overlap with any partner that the role allows; the longer side settles its own size.
+    need = F.ceil(needed(F.col("size"), F.col("least")) - SLACK).cast("int")
+    length = F.col("size") - need + 1
+    rows = roles.filter(length > 0).select(
+        "low", "high", "short", "id", "size", *numbers, F.posexplode(F.slice("prefix", F.lit(1), length)).alias("pos", "_p"),
+    ).select(
+        "low", "high", "short", "id", "size", "pos", *numbers, F.col("_p.token").alias("token"),
+        (F.floor(F.col("_p.freq") / (rows_per_block or ROWS_PER_BLOCK)) + 1).cast("int").alias("_blocks"),
+    )
+    own = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
+    dealt = rows.withColumn("_own", own).select("*", other).withColumn(
+        "cell", F.when(F.col("short"), F.struct("_own", "_other")).otherwise(F.struct(F.col("_other").alias("_own"), F.col("_own").alias("_other")))
+    ).drop("_own", "_other", "_blocks")
+    return _met(dealt, ["low", "high", "token", "cell"], ["pos", *numbers], possible)
+
+
+def segment_pairs(
+    records: DataFrame, threshold: float, numbers: Sequence[str], possible: Callable,
+    most: int, ratio: float = RATIO,
+) -> DataFrame:
+    """Pairs of the ``segmented`` class pairs whose edit distance may be ``1 - threshold`` of the longer size.
+
+    ``records`` has ``id, size, value`` and the columns ``numbers``, of which ``possible`` states a cheap
+    condition on a pair.
+    """
+    # Both sides of a class pair cut alike: by its least and greatest sizes alone.
+    edits = _edits(threshold)
+    cut = _roles(records, threshold, ratio, ["value", *numbers]).filter(segmented(threshold, most)).withColumns({
+        "edits": edits, "width": F.floor(F.col("shortest") / (edits + 1)).cast("int"),
+        # How much longer the longer title is, at least and at most.
+        "less": F.greatest(class_start(F.col("high"), ratio) - class_end(F.col("low"), ratio), F.lit(0)),
+        "more": F.col("longest") - F.col("shortest"),
+    })
+
+    def piece(slot: Column, at: Column) -> Column:
+        return F.struct(slot.alias("slot"), F.substring("value", at + 1, F.col("width")).alias("piece"))
+
+    def own(slot: Column) -> Column:
+        return F.array(piece(slot, slot * F.col("width")))
+
+    def moved(slot: Column) -> Column:
+        """Pieces at all places that edits before and behind leave possible."""
+        by = F.filter(
+            F.sequence(-slot, slot),
+            lambda s: (F.abs(s) + F.abs(F.least(F.greatest(s, F.col("less")), F.col("more")) - s) <= F.col("edits"))
+            & (slot * F.col("width") + s >= 0) & (slot * F.col("width") + s + F.col("width") <= F.col("size")),
+        )
+        return F.array_distinct(F.transform(by, lambda s: piece(slot, slot * F.col("width") + s)))
+
+    slots = F.sequence(F.lit(0), F.col("edits"))
+    signed = cut.select(
+        "low", "high", "short", "id", "size", *numbers,
+        F.inline(F.when(F.col("short"), F.flatten(F.transform(slots, own))).otherwise(F.flatten(F.transform(slots, moved)))),
+    )
+    return _met(signed, ["low", "high", "slot", "piece"], numbers, possible)

@@ -61,12 +61,15 @@ def multiset_jaccard(a, b):
 
 
 def edit_distance(a, b, swaps):
+    """By a full table; a swap may have edits between its two characters."""
     table = {(-1, j): j + 1 for j in range(-1, len(b))} | {(i, -1): i + 1 for i in range(len(a))}
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             best = min(table[i - 1, j] + 1, table[i, j - 1] + 1, table[i - 1, j - 1] + (x != y))
-            if swaps and i and j and x == b[j - 1] and a[i - 1] == y:
-                best = min(best, table[i - 2, j - 2] + 1)
+            if swaps:
+                k, m = a.rfind(y, 0, i), b.rfind(x, 0, j)
+                if k >= 0 and m >= 0:
+                    best = min(best, table[k - 1, m - 1] + (i - k - 1) + 1 + (j - m - 1))
             table[i, j] = best
     return table[len(a) - 1, len(b) - 1]
 

@@ -61,13 +61,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and return the scan of what was written.
 
     Cuts lineage: later stages re-read files that survive the loss of any executor, and the scan
-    keeps column pruning, filter push-down and size statistics.
+    keeps column pruning, filter push-down and size statistics. ``compression`` names a Parquet codec in
+    place of the session's, such as ``zstd`` for whole texts.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

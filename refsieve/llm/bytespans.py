@@ -94,7 +94,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with small_batches(docs.sparkSession, DOCUMENT_ROWS):
         packed = slim.mapInArrow(run, "ids array<bigint>, texts array<binary>")
-        return stored(packed.withColumn("grp", F.monotonically_increasing_id()), "groups")
+        return stored(packed.withColumn("grp", F.monotonically_increasing_id()), "groups", "zstd")
 
 
 def _bytes_of(texts: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:

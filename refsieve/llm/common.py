@@ -63,7 +63,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     that are joined by number read the one copy that has it.
     """
     row = free_name("row", *docs.columns)
-    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", "zstd"), row
 
 
 class Words(NamedTuple):

@@ -15,7 +15,7 @@ the size of the table before it was exploded.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,13 +48,16 @@ def candidate_pairs(
     possible: Callable[[Side, Side], Column],
     details: Sequence[str] = (),
     rows_per_block: int | None = None,
+    totals: Mapping[str, Callable[[Side, Side], Column]] | None = None,
 ) -> DataFrame:
-    """Distinct candidate pairs ``id1 < id2``.
+    """Distinct candidate pairs ``id1 < id2``, with aggregates over the tokens they share.
 
     ``records`` has ``id``, ``prefix`` (``array<struct<freq, token, ...>>``, rarest first, ``freq``
     the number of records with the token) and the columns ``numbers``. ``possible`` states a cheap
     condition on a pair from those columns, the fields ``details`` of the prefix entries, and
     ``pos``, the place of the shared token. It must hold for the first token that a pair shares.
+    ``totals`` name aggregates of the same columns over the shared tokens for which ``possible`` holds;
+    they are combined before the shuffle that makes the pairs distinct.
     """
     cell, carried = ["token", "low", "high"], ["id", "pos", "block", *numbers, *details]
     cells = prefix_cells(records, numbers, details, rows_per_block)
@@ -70,13 +73,14 @@ def candidate_pairs(
 
     # Pairs within one block belong to the cell of that block with itself.
     here = (F.col("low") == F.col("high")) | (F.col("block1") != F.col("block2"))
-    return (
+    met = (
         left.hint("merge")
         .join(right, cell)
         .filter((F.col("id1") < F.col("id2")) & here & possible(first, second))
-        .select("id1", "id2")
-        .distinct()
     )
+    if not totals:
+        return met.select("id1", "id2").distinct()
+    return met.groupBy("id1", "id2").agg(*[made(first, second).alias(name) for name, made in totals.items()])
 
 
 def with_both(pairs: DataFrame, records: DataFrame, payload: Sequence[str]) -> DataFrame:

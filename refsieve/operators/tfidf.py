@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from refsieve.functions import text
 from refsieve.functions.gate import passing
 from refsieve.operators.copies import collapse, copy_pairs, counted_pairs, titled_pairs
-from refsieve.operators.prefix_join import candidate_pairs, with_both
+from refsieve.operators.prefix_join import Side, candidate_pairs, with_both
 from refsieve.session import stored
 
 # Slack on squared norms, so that rounding never shortens a prefix.
@@ -87,13 +87,15 @@ def _rests(vector: Column) -> Column:
     return F.reverse(F.slice(sums, F.lit(2), F.array_size(vector)))
 
 
-def _dot(first: Column, second: Column) -> Column:
-    """Scalar product: in both vectors sorted together, equal terms are neighbours."""
-    both = F.array_sort(
-        F.transform(
-            F.concat(first, second), lambda x: F.struct(x["term"].alias("term"), x["weight"].alias("weight"))
-        )
+def _by_term(vector: Column) -> Column:
+    return F.array_sort(
+        F.transform(vector, lambda x: F.struct(x["term"].alias("term"), x["weight"].alias("weight")))
     )
+
+
+def _dot(first: Column, second: Column) -> Column:
+    """Scalar product of vectors in order of terms: merged, equal terms are neighbours."""
+    both = F.array_sort(F.concat(first, second))
     products = F.transform(
         F.array(both),
         lambda terms: F.aggregate(
@@ -109,6 +111,20 @@ def _dot(first: Column, second: Column) -> Column:
     return F.get(products, F.lit(0))
 
 
+def _shared(a: Side, b: Side) -> Column:
+    """Product over the shared terms that met."""
+    return F.sum(a("weight") * b("weight"))
+
+
+def _tail(a: Side, b: Side) -> Column:
+    """Square of what terms after the last one that met can add: the product of what is left of both."""
+
+    def after(side: Side) -> Column:
+        return F.greatest(side("rest") - side("weight") * side("weight"), F.lit(0.0))
+
+    return F.min(after(a) * after(b))
+
+
 def tfidf_pairs(
     df: DataFrame, threshold: float = 0.8, id_column: str = "DOI", column: str = "title"
 ) -> DataFrame:
@@ -118,12 +134,14 @@ def tfidf_pairs(
     """
     groups = stored(collapse(df, column, id_column), "titles")
     # Read by both sides of the join and by both sides of the check: written once instead.
-    vectors = stored(_vectors(_weighted_terms(groups)), "vectors")
+    vectors = _vectors(_weighted_terms(groups)).withColumn("by_term", _by_term(F.col("vector")))
+    vectors = stored(vectors, "vectors")
     numbered = vectors.select("id", "copies", "vector", _rests(F.col("vector")).alias("rests"))
     marked = F.transform(
         "vector",
         lambda x, i: F.struct(
-            x["freq"].alias("freq"), x["term"].alias("token"), F.get("rests", i).alias("rest")
+            x["freq"].alias("freq"), x["term"].alias("token"), x["weight"].alias("weight"),
+            F.get("rests", i).alias("rest"),
         ),
     )
     records = numbered.select(
@@ -132,10 +150,15 @@ def tfidf_pairs(
     )
     # Terms before the first shared one add nothing, so both rests bound the product.
     enough = threshold * threshold - SLACK
-    found = candidate_pairs(records, [], lambda a, b: a("rest") * b("rest") >= enough, ["rest"])
-    scored = with_both(found, vectors, ["copies", "vector"]).select(
+    found = candidate_pairs(
+        records, [], lambda a, b: a("rest") * b("rest") >= enough, ["rest", "weight"],
+        totals={"shared": _shared, "tail": _tail},
+    )
+    # Only pairs that the product so far and the bound on its tail leave open get their vectors.
+    likely = found.filter(F.col("shared") + F.sqrt("tail") >= threshold - SLACK)
+    scored = with_both(likely.select("id1", "id2"), vectors, ["copies", "by_term"]).select(
         "id1", "id2", "copies1", "copies2",
-        passing(_dot(F.col("vector1"), F.col("vector2")), lambda s: s >= threshold).alias("score"),
+        passing(_dot(F.col("by_term1"), F.col("by_term2")), lambda s: s >= threshold).alias("score"),
     )
     near = counted_pairs(scored)
     worded = groups.filter(F.col("value").rlike(text.TERM))

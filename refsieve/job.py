@@ -1,9 +1,10 @@
 """The snapshot job as a program.
 
-    spark-submit refsieve/job.py SNAPSHOT OUTPUT [--ignore-tokens FILE] [--countries FILE]
+    spark-submit refsieve/job.py SNAPSHOT OUTPUT [--ignore-tokens FILE] [--countries FILE] [--tasks N]
 
 Reads JSON-lines works, writes the works that one token dominates to a new folder below OUTPUT, and
-prints that folder. Every path may be of any store that Spark reads.
+prints that folder. Lines that are no record are counted in the same pass; where there are any, a
+second one writes them as text beside the result. Every path may be of any store that Spark reads.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from collections.abc import Sequence
 if __package__ in (None, ""):
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 
 from refsieve.operators import tokens
 from refsieve.operators.tokens import MIN_FRACTION
@@ -32,12 +34,23 @@ def run(
     ignore_tokens: str | None = None,
     countries: str | None = None,
     min_fraction: float = MIN_FRACTION,
+    tasks: int | None = None,
 ) -> str:
-    """The folder of the result table."""
+    """The folder of the result table; that of bad lines, if any, ends in ``.bad`` instead."""
     ignore = snapshot.read_ignore_tokens(spark, ignore_tokens, countries)
     stop = tokens.stop_lists(tokens.stop_table(spark, ignore))
-    found = dominant_token_works(snapshot.read_works(spark, snapshot_path), stop, min_fraction)
-    return sinks.write_results(found, output)
+    lines = snapshot.read_lines(spark, snapshot_path, tasks=tasks)
+    seen = Observation("snapshot lines")
+    observed = lines.observe(seen, F.count(snapshot.BAD_LINE).alias("bad"))
+    path = sinks.write_results(dominant_token_works(snapshot.good_lines(observed), stop, min_fraction), output)
+    if seen.get["bad"]:
+        snapshot.bad_lines(lines).write.text(bad_path(path))
+    return path
+
+
+def bad_path(result: str) -> str:
+    """Where the bad lines of the run with this result lie."""
+    return result.removesuffix(".parquet") + ".bad"
 
 
 def main(arguments: Sequence[str] | None = None) -> None:
@@ -47,12 +60,15 @@ def main(arguments: Sequence[str] | None = None) -> None:
     parser.add_argument("--ignore-tokens", help="JSON file with words to leave out")
     parser.add_argument("--countries", help="JSON file with country names to leave out")
     parser.add_argument("--min-fraction", type=float, default=MIN_FRACTION)
+    parser.add_argument("--tasks", type=int, help="deal lines over so many tasks, for compressed files")
     given = parser.parse_args(arguments)
     builder = SparkSession.builder.appName("refsieve")
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    print(run(spark, given.snapshot, given.output, given.ignore_tokens, given.countries, given.min_fraction))
+    print(run(
+        spark, given.snapshot, given.output, given.ignore_tokens, given.countries, given.min_fraction, given.tasks
+    ))
 
 
 if __name__ == "__main__":

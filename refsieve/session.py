@@ -37,6 +37,9 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     return session
 
 
+# Row groups of intermediates: what each writing task holds before it writes, so not Parquet's 128 MB.
+ROW_GROUP_BYTES = 16 << 20
+
 _CLEARED: set[str] = set()
 
 
@@ -70,5 +73,5 @@ def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFram
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,12 +8,40 @@ from pyspark.sql import types as T
 
 from refsieve.schema import IGNORE_COUNTRIES, IGNORE_TOKENS, RESULT, WORK
 
+BAD_LINE = "_bad_line"
+
 
 def read_works(spark: SparkSession, path: str | list[str], schema: T.StructType = WORK) -> DataFrame:
     """Snapshot of one JSON record per line; pass a narrower schema to parse fewer fields."""
     return spark.read.schema(schema).json(path)
 
 
+def read_lines(
+    spark: SparkSession, path: str | list[str], schema: T.StructType = WORK, tasks: int | None = None
+) -> DataFrame:
+    """The snapshot with the text of each line that is no such record in the column ``BAD_LINE``.
+
+    A compressed file is read by one task, whatever its size; ``tasks`` deals its lines over that
+    many before they are parsed. Blank lines are skipped.
+    """
+    lines = spark.read.text(path).filter(F.col("value").rlike(r"\S"))
+    if tasks is not None:
+        lines = lines.repartition(tasks)
+    marked = T.StructType([*schema.fields, T.StructField(BAD_LINE, T.StringType())])
+    record = F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE})
+    return lines.select(F.inline(F.array(record)))
+
+
+def good_lines(lines: DataFrame) -> DataFrame:
+    """Records of ``read_lines``, as ``read_works`` gives them."""
+    return lines.filter(F.col(BAD_LINE).isNull()).drop(BAD_LINE)
+
+
+def bad_lines(lines: DataFrame) -> DataFrame:
+    """Lines of ``read_lines`` that are no record, as text in ``value``."""
+    return lines.filter(F.col(BAD_LINE).isNotNull()).select(F.col(BAD_LINE).alias("value"))
+
+
 def read_items(spark: SparkSession, path: str | list[str], schema: T.StructType = WORK) -> DataFrame:
     """Snapshot files that each hold one document with an ``items`` array."""
     document = T.StructType([T.StructField("items", T.ArrayType(schema))])

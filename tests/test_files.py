@@ -1,7 +1,10 @@
+import gzip
 import json
 import os
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from refsieve import job
 from refsieve.plans.dominant import dominant_token_works
 from refsieve.plans.prepare import flatten_results
@@ -42,6 +45,35 @@ def test_job_reads_files_and_writes_a_table(spark, tmp_path):
     assert [(r["DOI"], r["token_vocabulary"]) for r in rows] == [("1", ["Smith"])]
 
 
+def test_broken_lines_of_one_compressed_file_are_set_aside(spark, tmp_path):
+    references = [{"unstructured": f"Smith {c}x"} for c in "abcdefghijklmnopqrstuvwxyzab"]
+    work = {"type": "book", "title": ["T"], "reference": references, "reference-count": 28}
+    good = [json.dumps({"DOI": str(i), **work}) for i in range(20)]
+    broken = [good[0][:-1], "no record", json.dumps({"DOI": "x", "reference": "none"})]
+    with gzip.open(tmp_path / "works.jsonl.gz", "wt") as file:
+        file.write("\n".join([*good[:7], *broken, "", "  ", *good[7:]]))
+    source = str(tmp_path / "works.jsonl.gz")
+    lines = snapshot.read_lines(spark, source, tasks=4)
+    assert lines.count() == 23 and snapshot.good_lines(lines).count() == 20
+    assert sorted(r["value"] for r in snapshot.bad_lines(lines).collect()) == sorted(broken)
+    parts = lines.select(F.spark_partition_id()).distinct().count()
+    assert parts > 1 and snapshot.read_lines(spark, source).select(F.spark_partition_id()).distinct().count() == 1
+
+    path = job.run(spark, source, str(tmp_path / "out"), tasks=4)
+    assert snapshot.read_results(spark, path).count() == 20
+    written = spark.read.text(job.bad_path(path)).collect()
+    assert sorted(r["value"] for r in written) == sorted(broken)
+    (tmp_path / "clean.jsonl").write_text("\n".join(good))
+    clean = job.run(spark, str(tmp_path / "clean.jsonl"), str(tmp_path / "out"))
+    assert snapshot.read_results(spark, clean).count() == 20 and not os.path.exists(job.bad_path(clean))
+
+
+def test_empty_snapshot_has_no_lines(spark, tmp_path):
+    (tmp_path / "none.jsonl").write_text("")
+    lines = snapshot.read_lines(spark, str(tmp_path / "none.jsonl"), tasks=2)
+    assert snapshot.good_lines(lines).count() == snapshot.bad_lines(lines).count() == 0
+
+
 def test_results_and_reports_round_trip(spark, sf_dir, tmp_path):
     found = dominant_token_works(views.works(spark, sf_dir), stop_lists(spark, sf_dir), 0.3)
     path = sinks.write_results(found, str(tmp_path), datetime(2024, 8, 19, 15, 18, 19))

@@ -1,4 +1,5 @@
 import math
+import math
 import random
 import re
 from collections import Counter
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from refsieve.operators import characters, copies, embeddings, prefix_join, tfidf
+from refsieve.operators import characters, copies, embeddings, hashed_vectors, prefix_join, tfidf
 
 
 def titles():
@@ -168,9 +169,36 @@ def test_embedding_pairs_equal_brute_force(spark, threshold, block_rows):
             assert r["score"] == pytest.approx(float(unit[r["id1"]] @ unit[r["id2"]]), abs=6e-4)
 
 
+def test_hashed_candidates_find_nearly_all_pairs_and_no_others(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((150, 24))
+    made = np.repeat(centres, 4, 0) + 0.35 * rng.standard_normal((600, 24))
+    made[10] = made[11]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(made)] + [(900, [0.0] * 24)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = made / np.linalg.norm(made, axis=1, keepdims=True)
+    exact = embeddings.embedding_pairs(frame, 0.8)
+    whole = {(r["id1"], r["id2"]): r for r in exact.collect()}
+    found = {(r["id1"], r["id2"]): r for r in hashed_vectors.hashed_embedding_pairs(frame, 0.8).collect()}
+    assert all(whole[key] == row for key, row in found.items())
+    assert len(whole) > 400 and len(found) >= 0.9 * len(whole)
+    assert found[10, 10]["n_pairs"] == 1 and all(unit[a] @ unit[b] >= 0.8 for a, b in found)
+
+
+def test_share_of_pairs_that_meet_follows_the_angle():
+    # Without guests two vectors meet where no plane parts them.
+    for cosine in (0.5, 0.9):
+        side = 1 - math.acos(cosine) / math.pi
+        assert hashed_vectors.meeting_share(6, cosine, 0) == pytest.approx(side**6, abs=0.015)
+    assert hashed_vectors.meeting_share(6, 0.8, 3) > hashed_vectors.meeting_share(6, 0.8, 0)
+    assert hashed_vectors.tables_for(10, 0.8, 0.97) > hashed_vectors.tables_for(10, 0.8, 0.8)
+    assert hashed_vectors.bits_for(0) == 4 and hashed_vectors.bits_for(10**12) == 24
+
+
 def test_no_vectors_no_pairs(spark):
     frame = spark.createDataFrame([(1, [0.0, 0.0])], "vec_id long, embedding array<float>")
     assert embeddings.embedding_pairs(frame).count() == 0
+    assert hashed_vectors.hashed_embedding_pairs(frame).count() == 0
 
 
 def test_no_cell_holds_more_than_two_blocks(spark):

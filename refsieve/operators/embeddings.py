@@ -4,7 +4,8 @@ Vectors are dealt to cells, each to its nearest pivot by angle. A partner within
 ``acos(threshold)`` of some vector of a cell is, by the triangle inequality, within the cell's
 radius plus that angle of the pivot; only such vectors are sent to the cell as visitors. Inside a
 cell, residents and visitors are cut into blocks, and one task multiplies two blocks. Hot cells
-become more tasks, not larger ones, and a task returns only the pairs that reach the threshold.
+become more tasks, not larger ones, and a task returns only the pairs that reach the threshold, a
+bounded piece of its product at a time; visitors too are dealt out piece by piece.
 
 There are as many cells as residents fill blocks, so that a cell does not grow with the data, up to
 ``MOST_PIVOTS``. Pivots and per-cell counts, one small row each, are all that passes through the
@@ -13,6 +14,7 @@ nearly every cell visits every other.
 """
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,9 @@ from refsieve.operators.copies import collapse, copy_pairs, counted_pairs
 from refsieve.session import stored
 
 PIVOTS, MOST_PIVOTS = 64, 4_096
-BLOCK_ROWS = 2_048
+BLOCK_ROWS = 16_384
+# Angles, or scores of two blocks, that a Python worker holds at once.
+CELLS = 1 << 20
 # Slack on angles, so that rounding never loses a visitor.
 SLACK = 1e-6
 
@@ -45,17 +49,27 @@ def _angle_function():
     return angles
 
 
+def _piece_function():
+    cells = CELLS
+
+    def pieces(batches, width):
+        """Batches cut so that ``width`` numbers per row stay bounded, however many pivots there are."""
+        rows = max(1, cells // max(width, 1))
+        for batch in batches:
+            for start in range(0, len(batch), rows):
+                yield batch.iloc[start: start + rows]
+
+    return pieces
+
+
 def _residents(groups: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Vectors with their cell and the angle to its pivot."""
-    angles = _angle_function()
+    angles, pieces = _angle_function(), _piece_function()
 
     def assign(batches):
-        for batch in batches:
-            if len(batch):
-                away = angles(np.stack(batch["value"]).astype(np.float64), pivots)
-                batch["cell"] = away.argmin(axis=1)
-                batch["away"] = away.min(axis=1)
-                yield batch
+        for batch in pieces(batches, len(pivots)):
+            away = angles(np.stack(batch["value"]).astype(np.float64), pivots)
+            yield batch.assign(cell=away.argmin(axis=1), away=away.min(axis=1))
 
     schema = f"{_fields(groups)}, cell int, away double"
     return groups.mapInPandas(assign, schema)
@@ -72,13 +86,13 @@ def _with_visits(
 
     Two vectors of different cells meet in the lower one only, so a pair is found once.
     """
-    angles = _angle_function()
+    angles, pieces = _angle_function(), _piece_function()
     fields = _fields(residents)
+    # A visitor takes a row with its vector in every cell, so pieces are smaller by its numbers.
+    wide = 16 * len(pivots)
 
     def visit(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in pieces(batches, wide):
             away = angles(np.stack(batch["value"]).astype(np.float64), pivots)
             home = batch["cell"].to_numpy()
             lower = np.arange(len(pivots))[None, :] < home[:, None]
@@ -145,35 +159,35 @@ def _in_blocks(placed: DataFrame, block_rows: int) -> DataFrame:
 
 
 def _matches(threshold: float):
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
+    cells = CELLS
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = pd.concat(list(batches), ignore_index=True)
         a, b = group[group["first"]], group[~group["first"]]
-        columns = ["id1", "id2", "copies1", "copies2", "score"]
         if a.empty or b.empty:
-            return pd.DataFrame(columns=columns)
+            return
+        own_block = group["block"].iloc[0] == group["other"].iloc[0] and not group["visitors"].iloc[0]
 
         def unit(side):
             rows = np.stack(side["value"]).astype(np.float64)
             return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
-        scores = unit(a) @ unit(b).T
-        i, j = np.nonzero(scores >= threshold)
-        left, right = a.iloc[i], b.iloc[j]
-        found = pd.DataFrame(
-            {
-                "id1": left["id"].to_numpy(),
-                "id2": right["id"].to_numpy(),
-                "copies1": left["copies"].to_numpy(),
-                "copies2": right["copies"].to_numpy(),
-                "score": scores[i, j],
-            }
-        )
-        own_block = group["block"].iloc[0] == group["other"].iloc[0]
-        if own_block and not group["visitors"].iloc[0]:
-            return found[found["id1"] < found["id2"]]
-        swap = (found["id1"] > found["id2"]).to_numpy()
-        for one, two in (("id1", "id2"), ("copies1", "copies2")):
-            found.loc[swap, [one, two]] = found.loc[swap, [two, one]].to_numpy()
-        return found
+        ids, copies = ([side[c].to_numpy() for side in (a, b)] for c in ("id", "copies"))
+        left, right = unit(a), unit(b).T
+        del group, a, b
+        step = max(1, cells // right.shape[1])
+        for start in range(0, len(left), step):
+            scores = left[start: start + step] @ right
+            i, j = np.nonzero(scores >= threshold)
+            score, i = scores[i, j], i + start
+            id1, id2, copies1, copies2 = ids[0][i], ids[1][j], copies[0][i], copies[1][j]
+            swap = id1 > id2
+            kept = id1 < id2 if own_block else slice(None)
+            yield pd.DataFrame({
+                "id1": np.where(swap, id2, id1)[kept], "id2": np.where(swap, id1, id2)[kept],
+                "copies1": np.where(swap, copies2, copies1)[kept],
+                "copies2": np.where(swap, copies1, copies2)[kept], "score": score[kept],
+            })
 
     return compare
 
@@ -184,13 +198,14 @@ def embedding_pairs(
     id_column: str = "vec_id",
     column: str = "embedding",
     pivots: int | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Pairs of distinct vectors with a cosine of at least ``threshold``, and copies of a vector.
 
     Columns ``id1, id2, copies1, copies2, score, n_pairs``; the score is rounded to 3 places. A
     zero vector has no direction and no partner.
     """
+    block_rows = block_rows or BLOCK_ROWS
     nonzero = df.filter(F.exists(column, lambda x: x != 0))
     # Read for pivots, residents and copies, and behind a shuffle of whole vectors: written once.
     groups = stored(collapse(nonzero, column, id_column), "vectors")

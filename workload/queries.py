@@ -96,10 +96,9 @@ def cleaned(spark, sf):
     return tk.cleaned_refs(gating.processable_refs(views.works(spark, sf)))
 
 
-def kept_tokens(spark, sf, ref_type=None):
-    return tk.remove_stopwords(
-        tk.reference_tokens(cleaned(spark, sf)), stop_words(spark, sf), ref_type
-    )
+def kept_tokens(spark, sf, ref_type=None, refs=None):
+    refs = cleaned(spark, sf) if refs is None else refs
+    return tk.remove_stopwords(tk.reference_tokens(refs), stop_words(spark, sf), ref_type)
 
 
 def digest(value: Column, *names: str) -> list[Column]:
@@ -346,8 +345,10 @@ def dominant_tokens(spark, sf):
 
 
 def token_fraction(spark, sf):
-    best = tk.dominant_tokens(tk.token_counts(kept_tokens(spark, sf)))
-    scored = tk.token_fraction(best, tk.cleaned_lengths(cleaned(spark, sf)), min_fraction=0.1)
+    # Read for tokens and for lengths, and cleaned by many patterns: written once instead.
+    refs = stored(cleaned(spark, sf), "cleaned", "zstd")
+    best = tk.dominant_tokens(tk.token_counts(kept_tokens(spark, sf, refs=refs)))
+    scored = tk.token_fraction(best, tk.cleaned_lengths(refs), min_fraction=0.1)
     return flat(
         scored.select("DOI", "token_vocabulary", "token_frac_refs", "cleaned_references_length")
     )

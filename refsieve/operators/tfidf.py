@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from refsieve.functions import text
-from refsieve.functions.gate import passing
+from refsieve.functions.gate import once
+from refsieve.operators import prefix_join
 from refsieve.operators.copies import collapse, copy_pairs, counted_pairs, titled_pairs
-from refsieve.operators.prefix_join import Side, candidate_pairs, with_both
 from refsieve.session import stored
 
 # Slack on squared norms, so that rounding never shortens a prefix.
 SLACK = 1e-9
+# Terms of vectors that a bucket of terms is made for, on average.
+TERMS_PER_BUCKET = 50_000
 
 
 def _weighted_terms(groups: DataFrame) -> DataFrame:
@@ -77,52 +85,120 @@ def _prefix_length(vector: Column, threshold: float) -> Column:
     return F.array_size(vector) - rest["n"] + 1
 
 
-def _rests(vector: Column) -> Column:
-    """Squared length of what is left of a vector from each place on."""
-    sums = F.aggregate(
-        F.reverse(vector),
-        F.array(F.lit(0.0)),
-        lambda sums, x: F.concat(sums, F.array(F.get(sums, F.array_size(sums) - 1) + x["weight"] * x["weight"])),
-    )
-    return F.reverse(F.slice(sums, F.lit(2), F.array_size(vector)))
-
+def _in_cells(vectors: DataFrame, threshold: float) -> DataFrame:
+    """A row per vector and cell ``bucket, low, high`` in which a term of its prefix is compared.
 
-def _by_term(vector: Column) -> Column:
-    return F.array_sort(
-        F.transform(vector, lambda x: F.struct(x["term"].alias("term"), x["weight"].alias("weight")))
+    Terms are dealt to buckets, the titles of a term to blocks; every two blocks of a term meet. A
+    vector goes once to a cell, however many of its terms lie there.
+    """
+    squared = threshold * threshold - SLACK
+    # A term of one title adds to no product. Where the others are too short, no product is enough.
+    shared = vectors.filter("id IS NOT NULL").select(
+        "id", "copies", once(F.filter("vector", lambda x: x["freq"] > 1).alias("vector"))
     )
-
-
-def _dot(first: Column, second: Column) -> Column:
-    """Scalar product of vectors in order of terms: merged, equal terms are neighbours."""
-    both = F.array_sort(F.concat(first, second))
-    products = F.transform(
-        F.array(both),
-        lambda terms: F.aggregate(
-            F.sequence(F.lit(1), F.array_size(terms) - 1),
-            F.lit(0.0),
-            lambda total, i: total
-            + F.when(
-                F.get(terms, i)["term"] == F.get(terms, i - 1)["term"],
-                F.get(terms, i)["weight"] * F.get(terms, i - 1)["weight"],
-            ).otherwise(0.0),
-        ),
+    length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x["weight"] * x["weight"])
+    shared = shared.filter(length >= squared)
+    buckets = F.ceil(vectors.agg(F.sum(F.array_size("vector"))).scalar() / TERMS_PER_BUCKET)
+    rows_per_block = prefix_join.ROWS_PER_BLOCK
+    marked = F.transform("vector", lambda x: F.struct(
+        x["term"].alias("term"), x["weight"].alias("weight"),
+        F.pmod(F.xxhash64(x["term"]), F.greatest(F.col("_buckets"), F.lit(1))).cast("int").alias("bucket"),
+        (F.floor(x["freq"] / rows_per_block) + 1).cast("int").alias("blocks"),
+    ))
+    shared = shared.select(
+        "id", "copies", "vector", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("dealt"),
+        _prefix_length(F.col("vector"), threshold).alias("prefix"), buckets.alias("_buckets"),
+    ).select("id", "copies", "dealt", "prefix", once(marked.alias("marked")))
+
+    def cells(term: Column) -> Column:
+        block = (F.col("dealt") % term["blocks"]).cast("int")
+        return F.transform(F.sequence(F.lit(0), term["blocks"] - 1), lambda other: F.struct(
+            term["bucket"].alias("bucket"), F.least(block, other).alias("low"), F.greatest(block, other).alias("high")
+        ))
+
+    met = F.flatten(F.transform(F.slice("marked", F.lit(1), F.col("prefix")), cells))
+    return shared.select(
+        "id", "copies", "dealt", "prefix",
+        F.col("marked.term").alias("terms"), F.col("marked.weight").alias("weights"),
+        F.col("marked.bucket").alias("buckets"), F.col("marked.blocks").alias("blocks"),
+        F.inline(F.array_distinct(met)),
     )
-    return F.get(products, F.lit(0))
-
 
-def _shared(a: Side, b: Side) -> Column:
-    """Product over the shared terms that met."""
-    return F.sum(a("weight") * b("weight"))
 
-
-def _tail(a: Side, b: Side) -> Column:
-    """Square of what terms after the last one that met can add: the product of what is left of both."""
-
-    def after(side: Side) -> Column:
-        return F.greatest(side("rest") - side("weight") * side("weight"), F.lit(0.0))
-
-    return F.min(after(a) * after(b))
+def _compared(threshold: float, id_type: pa.DataType) -> Callable[[pa.Table], pa.Table]:
+    """Function for a cell: the pairs that reach ``threshold``, each in the cell of its first shared term."""
+    squared = threshold * threshold - SLACK
+    schema = pa.schema({
+        "id1": id_type, "id2": id_type, "copies1": pa.int64(), "copies2": pa.int64(), "score": pa.float64()
+    })
+
+    def compare(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        bucket, low, high = (cell.column(c)[0].as_py() for c in ("bucket", "low", "high"))
+
+        def flat(name: str) -> pa.Array:
+            return cell.column(name).combine_chunks().flatten()
+
+        terms = flat("terms").dictionary_encode()
+        vocabulary, term = len(terms.dictionary), terms.indices.to_numpy().astype(np.int64)
+        weight, blocks = flat("weights").to_numpy(), flat("blocks").to_numpy()
+        sizes = pc.list_value_length(cell.column("terms")).to_numpy().astype(np.int64)
+        begins = np.r_[0, np.cumsum(sizes)]
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(row)) - begins[row]
+        # Squared length of what is left of a vector from each place on.
+        sums = np.r_[0.0, np.cumsum(weight * weight)]
+        rest = sums[begins[row + 1]] - sums[:-1] + SLACK
+        block = cell.column("dealt").to_numpy()[row] % blocks
+        here = (
+            (flat("buckets").to_numpy() == bucket) & (place < cell.column("prefix").to_numpy()[row])
+            & (blocks > high) & ((block == low) | (block == high))
+        )
+        # Titles of a term, the longest rests first: those that a title may reach follow it at once.
+        at = np.flatnonzero(here)
+        at = at[np.lexsort((-rest[at], term[at]))]
+        ends = np.r_[np.flatnonzero(np.diff(term[at])) + 1, len(at)]
+        ids, copies = cell.column("id").to_pylist(), cell.column("copies").to_numpy()
+        found: list[tuple[int, int, float]] = []
+        dense = np.zeros(vocabulary)
+        start = 0
+        for end in ends.tolist():
+            titles = at[start:end]
+            start = end
+            if len(titles) < 2:
+                continue
+            rows, rests, own = row[titles], rest[titles], block[titles]
+            n = sizes[rows]
+            offsets = np.r_[0, np.cumsum(n)]
+            listed = np.arange(offsets[-1]) + np.repeat(begins[rows] - offsets[:-1], n)
+            their_term, their_weight = term[listed], weight[listed]
+            reach = np.searchsorted(-rests, -squared / rests, side="right").tolist()
+            for i, stop in enumerate(reach):
+                if stop <= i + 1:
+                    break
+                mine = slice(offsets[i], offsets[i + 1])
+                dense[their_term[mine]] = their_weight[mine]
+                first, last = offsets[i + 1], offsets[stop]
+                products = dense[their_term[first:last]] * their_weight[first:last]
+                scores = np.add.reduceat(products, offsets[i + 1: stop] - first)
+                for k in np.flatnonzero(scores >= threshold).tolist():
+                    j = i + 1 + k
+                    # Pairs within one block belong to the cell of that block with itself.
+                    if low != high and own[i] == own[j]:
+                        continue
+                    begin = offsets[j] - first
+                    if not products[begin: begin + place[titles[j]]].any():
+                        found.append((rows[i], rows[j], scores[k]))
+                dense[their_term[mine]] = 0.0
+        pairs = [(a, b, s) if ids[a] < ids[b] else (b, a, s) for a, b, s in found]
+        one, two = [a for a, _, _ in pairs], [b for _, b, _ in pairs]
+        return pa.table([
+            pa.array([ids[a] for a in one], id_type), pa.array([ids[b] for b in two], id_type),
+            pa.array(copies[one] if one else [], pa.int64()), pa.array(copies[two] if two else [], pa.int64()),
+            pa.array([s for _, _, s in pairs], pa.float64()),
+        ], schema=schema)
+
+    return compare
 
 
 def tfidf_pairs(
@@ -130,35 +206,16 @@ def tfidf_pairs(
 ) -> DataFrame:
     """Pairs of distinct titles whose TF-IDF cosine reaches ``threshold``, and copies of a title.
 
-    Columns ``id1, id2, copies1, copies2, score, n_pairs, title1, title2``.
+    Columns ``id1, id2, copies1, copies2, score, n_pairs, title1, title2``. Vectors go to the cells
+    of their leading terms and are compared there, so only pairs that reach the threshold are ever
+    shuffled.
     """
     groups = stored(collapse(df, column, id_column), "titles")
-    # Read by both sides of the join and by both sides of the check: written once instead.
-    vectors = _vectors(_weighted_terms(groups)).withColumn("by_term", _by_term(F.col("vector")))
-    vectors = stored(vectors, "vectors")
-    numbered = vectors.select("id", "copies", "vector", _rests(F.col("vector")).alias("rests"))
-    marked = F.transform(
-        "vector",
-        lambda x, i: F.struct(
-            x["freq"].alias("freq"), x["term"].alias("token"), x["weight"].alias("weight"),
-            F.get("rests", i).alias("rest"),
-        ),
-    )
-    records = numbered.select(
-        "id",
-        F.slice(marked, F.lit(1), _prefix_length(F.col("vector"), threshold)).alias("prefix"),
-    )
-    # Terms before the first shared one add nothing, so both rests bound the product.
-    enough = threshold * threshold - SLACK
-    found = candidate_pairs(
-        records, [], lambda a, b: a("rest") * b("rest") >= enough, ["rest", "weight"],
-        totals={"shared": _shared, "tail": _tail},
-    )
-    # Only pairs that the product so far and the bound on its tail leave open get their vectors.
-    likely = found.filter(F.col("shared") + F.sqrt("tail") >= threshold - SLACK)
-    scored = with_both(likely.select("id1", "id2"), vectors, ["copies", "by_term"]).select(
-        "id1", "id2", "copies1", "copies2",
-        passing(_dot(F.col("by_term1"), F.col("by_term2")), lambda s: s >= threshold).alias("score"),
+    vectors = stored(_vectors(_weighted_terms(groups)), "vectors")
+    id_field = groups.schema["id"].dataType
+    scored = _in_cells(vectors, threshold).groupBy("bucket", "low", "high").applyInArrow(
+        _compared(threshold, to_arrow_type(id_field)),
+        f"id1 {id_field.simpleString()}, id2 {id_field.simpleString()}, copies1 long, copies2 long, score double",
     )
     near = counted_pairs(scored)
     worded = groups.filter(F.col("value").rlike(text.TERM))

@@ -122,6 +122,16 @@ def test_hot_tokens_are_split_without_losing_pairs(frame, monkeypatch):
     assert collected(tfidf.tfidf_pairs(frame, 0.5)) == whole
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5])
+def test_tfidf_candidates_never_leave_their_cells(frame, monkeypatch, threshold):
+    """Candidates were shuffled to make them distinct, and again with both vectors."""
+    monkeypatch.setattr(prefix_join, "ROWS_PER_BLOCK", 3)
+    monkeypatch.setattr(tfidf, "TERMS_PER_BUCKET", 20)
+    pairs = tfidf.tfidf_pairs(frame, threshold)
+    assert "keys=[id1" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert collected(pairs)[0] == brute(cosine_function(), threshold)
+
+
 def test_pair_counts_add_up_to_all_work_pairs(frame):
     cosine = cosine_function()
     total = sum(

@@ -55,9 +55,19 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+@cache
+def _names_by_letter() -> str:
+    """A literal map per first letter: a map is searched from its beginning, so short ones are faster."""
+    letters: dict[str, list[str]] = {}
+    for name, value in sorted(html.entities.html5.items()):
+        letters.setdefault(name[0], []).append(f"{_literal(name)}, {_literal(value)}")
+    return ", ".join(f"{_literal(letter)}, map({', '.join(pairs)})" for letter, pairs in letters.items())
+
+
 def _named(name: Column) -> Column:
-    # One literal map, written as SQL text, which parses faster than it crosses py4j.
-    return F.try_element_at(F.expr(f"map({named_entities(_literal)})"), name)
+    # Literal maps, written as SQL text, which parses faster than it crosses py4j.
+    of_letter = F.try_element_at(F.expr(f"map({_names_by_letter()})"), F.substring(name, 1, 1))
+    return F.try_element_at(of_letter, name)
 
 
 def _character(code_point: Column) -> Column:
@@ -83,23 +93,40 @@ def _decode_entity(part: Column) -> Column:
 
 def strip_html(text: Column) -> Column:
     """Visible text of a markup fragment; text without markup passes through untouched."""
-    visible = F.regexp_replace(F.regexp_replace(text, HIDDEN_BLOCK, ""), TAG, "")
+    untagged = F.regexp_replace(F.regexp_replace(text, HIDDEN_BLOCK, ""), TAG, "")
+    visible = F.when(text.contains("<"), untagged).otherwise(text)
     parts = F.split(visible, "&", -1)
     decoded = F.array_join(
         F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(_decode_entity(part))),
         "",
     )
-    return F.when(text.rlike("[<&]"), decoded).otherwise(text)
+    return F.when(text.contains("<") | text.contains("&"), decoded).otherwise(text)
+
+
+def _maybe_marked_up(text: Column) -> Column:
+    """Whether a DOI prefix, tag, entity or URL may begin in a text; none begins elsewhere."""
+    return text.contains("doi:") | text.contains("<") | text.contains("&") | text.contains("http")
 
 
 def clean_reference(text: Column) -> Column:
     """Drop DOI prefixes, tags, entities and URLs, then digits and the marks ``_ . - [ | ]``.
 
-    The marks are single characters, so one class removes them all in one pass.
+    The marks are single characters, so one class removes them all in one pass. The text is bound
+    to a variable, so that asking what it holds does not compute it anew.
     """
-    for pattern in (DOI_PREFIX, ANGLED, ENTITY, URL, SINGLE_MARKS):
-        text = F.regexp_replace(text, pattern, "")
-    return text
+
+    def cleaned(bound: Column) -> Column:
+        whole = bound
+        for pattern in (DOI_PREFIX, ANGLED, ENTITY, URL, SINGLE_MARKS):
+            whole = F.regexp_replace(whole, pattern, "")
+        return F.when(_maybe_marked_up(bound), whole).otherwise(F.regexp_replace(bound, SINGLE_MARKS, ""))
+
+    return F.get(F.transform(F.array(text), cleaned), F.lit(0))
+
+
+def clean_again(cleaned: Column) -> Column:
+    """``clean_reference`` of a text that it gave: the marks are gone, a tag or URL may have formed."""
+    return F.when(_maybe_marked_up(cleaned), clean_reference(cleaned)).otherwise(cleaned)
 
 
 def has_token(text: Column) -> Column:

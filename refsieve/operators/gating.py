@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refsieve.functions import text, works
+from refsieve.functions.gate import passing
 
 UNSTRUCTURED, AUTHORS = "unstructured", "authors"
 
@@ -18,8 +19,9 @@ TEXT_CUT = 50
 
 
 def with_min_refs(df: DataFrame, more_than: int = MIN_REFERENCES) -> DataFrame:
-    """Works with more than ``more_than`` references."""
-    return df.filter(F.coalesce(F.array_size("reference"), F.lit(0)) > more_than)
+    """Works with more than ``more_than`` references; computed references are computed once."""
+    number = passing(F.coalesce(F.array_size("reference"), F.lit(0)), lambda n: n > more_than)
+    return df.select("*", number.alias("_n")).select(*[F.col(f"`{name}`") for name in df.columns])
 
 
 def has_references(df: DataFrame) -> DataFrame:
@@ -103,11 +105,11 @@ def with_processable_share(
             percentage(F.array_size(refs), F.col("reference-count")).alias("proc_ref_ptge"),
         ),
     )
-    passing = F.filter(
+    kept = F.filter(
         rows,
         lambda r: (r["proc_ref_count"] >= min_count) & (r["proc_ref_ptge"] >= min_percentage),
     )
-    return df.select("*", F.inline(passing))
+    return df.select("*", F.inline(kept))
 
 
 def processable_share(

@@ -53,16 +53,19 @@ def _longest_run(ordered: Column) -> Column:
 
 
 def _scored(df: DataFrame, words: dict[str, list[str]], min_fraction: float) -> DataFrame:
-    cleaned = F.filter(
+    # Free text was cleaned when it was chosen, author strings were not.
+    again = F.filter(
         F.transform(
             "proc_refs",
             lambda p: F.struct(
-                p["ref_type"].alias("ref_type"), text.clean_reference(p["text"]).alias("text")
+                p["ref_type"].alias("ref_type"),
+                F.when(p["ref_type"] == UNSTRUCTURED, text.clean_again(p["text"]))
+                .otherwise(text.clean_reference(p["text"])).alias("text"),
             ),
         ),
         lambda p: text.has_token(p["text"]),
     )
-    enough = passing(cleaned, lambda refs: F.array_size(refs) >= MIN_PROCESSABLE)
+    enough = passing(again, lambda refs: F.array_size(refs) >= MIN_PROCESSABLE)
     df = df.select("*", enough.alias("cleaned"))
 
     per_reference = _kept_tokens(words)

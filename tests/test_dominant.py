@@ -188,3 +188,12 @@ def test_ignore_lists_from_files(spark, tmp_path):
     words = snapshot.read_ignore_tokens(spark, str(tmp_path / "t.json"), str(tmp_path / "c.json"))
     assert sorted(r["word"] for r in words.collect()) == ["bar", "chad", "foo"]
     assert snapshot.read_ignore_tokens(spark).count() == 0
+
+
+def test_computed_references_are_computed_once_behind_the_gate(spark):
+    """The filter on their number was pushed below the projection with a copy of the computation."""
+    texts = F.transform(F.sequence(F.lit(1), F.col("id") + 1), lambda i: F.concat(F.lit("ref"), i))
+    kept = gating.with_min_refs(spark.range(40).select("id", texts.alias("reference")), 25)
+    assert kept.columns == ["id", "reference"]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("transform(") == 1
+    assert sorted(r["id"] for r in kept.select("id").collect()) == list(range(25, 40))

@@ -136,3 +136,27 @@ def test_token_in_title(spark):
 ])
 def test_entities_of_html_5(spark, markup):
     assert apply(spark, tx.strip_html, [markup]) == [html.unescape(markup)]
+
+
+def test_cleaned_text_is_cleaned_again_only_where_markup_may_have_formed(spark):
+    texts = ["plain", "a1_b", "d1oi: x y", "doi:10 x", "<1a>b", "x <b> y", "&a1mp; z", "h2ttp://u v", "ht-tp", "", None, "1 < 2", "Ünder3"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    once = frame.select("t", tx.clean_reference(F.col("t")).alias("c"))
+
+    def by_patterns(value):
+        for pattern in (tx.DOI_PREFIX, tx.ANGLED, tx.ENTITY, tx.URL, tx.SINGLE_MARKS):
+            value = F.regexp_replace(value, pattern, "")
+        return value
+
+    found = once.select("c", tx.clean_again(F.col("c")).alias("again"), by_patterns(F.col("t")).alias("c2"),
+                        by_patterns(F.col("c")).alias("again2")).collect()
+    assert [r["c"] for r in found] == [r["c2"] for r in found]
+    assert [r["again"] for r in found] == [r["again2"] for r in found]
+    assert any(r["again"] != r["c"] for r in found)
+
+
+def test_every_named_entity_is_found(spark):
+    names = sorted(n for n in html.entities.html5 if n.endswith(";"))
+    frame = spark.createDataFrame([(f"a &{n} b",) for n in names], "t string")
+    found = {r["t"]: r["s"] for r in frame.select("t", tx.strip_html(F.col("t")).alias("s")).collect()}
+    assert found == {t: html.unescape(t) for t in found} and len(found) == len(names)

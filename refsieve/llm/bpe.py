@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
@@ -235,6 +235,18 @@ def decode_stream(tokens: Iterable[int], token: dict[int, bytes], piece: int = 4
     yield stream.close()
 
 
+class Matches(dict):
+    """Tokens of the matches met so far; a match is encoded where it is first asked for."""
+
+    def __init__(self, encode: Callable[[bytes], tuple[int, ...]], kept: Iterable = ()):
+        super().__init__(kept)
+        self.encode = encode
+
+    def __missing__(self, match: str) -> tuple[int, ...]:
+        found = self[match] = self.encode(match.encode("utf-8", "replace"))
+        return found
+
+
 class Codec:
     """Splits a text by ``pattern`` and encodes every match by itself."""
 
@@ -243,26 +255,15 @@ class Codec:
 
         self.transducer = Transducer(parse_ranks(content))
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Matches(self.transducer.encode)
         self.decimal = {number: str(number) for number in self.transducer.token}
 
     def encode(self, text: str) -> list[int]:
         """Tokens of all matches."""
-        matches = self.split(text)
-        known, encode = self.known, self.transducer.encode
-        if len(known) > MOST_MATCHES:
+        if len(self.known) > MOST_MATCHES:
             # Recent matches stay, so that frequent ones are not encoded again.
-            self.known = known = dict(list(known.items())[MOST_MATCHES // 2:])
-        parts = list(map(known.get, matches))
-        if None in parts:
-            for at, part in enumerate(parts):
-                if part is None:
-                    match = matches[at]
-                    part = known.get(match)
-                    if part is None:
-                        part = known[match] = encode(match.encode("utf-8", "replace"))
-                    parts[at] = part
-        return list(chain.from_iterable(parts))
+            self.known = Matches(self.transducer.encode, list(self.known.items())[MOST_MATCHES // 2:])
+        return list(chain.from_iterable(map(self.known.__getitem__, self.split(text))))
 
     def written(self, tokens: Iterable[int]) -> str:
         """Decimal numbers of the tokens, joined by spaces."""

@@ -355,3 +355,11 @@ def test_scores_equal_plain_python(spark, frequent):
     )
     assert mine == lm_by_hand(rows, lattice.Pieces(pieces()))
     assert lattice.score_documents(docs.limit(0), pieces()).count() == 0
+
+
+def test_a_match_is_encoded_once_and_where_it_is_first_asked_for():
+    from refsieve.llm.bpe import Matches
+
+    asked = []
+    known = Matches(lambda match: asked.append(match) or tuple(match), [("a", (97,))])
+    assert [known[m] for m in ("a", "b", "b")] == [(97,), (98,), (98,)] and asked == [b"b"]

@@ -51,7 +51,7 @@ def named_entities(quoted: Callable[[str], str]) -> str:
     return ", ".join(f"{quoted(name)}, {quoted(value)}" for name, value in pairs)
 
 
-def _literal(text: str) -> str:
+def literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
@@ -60,8 +60,8 @@ def _names_by_letter() -> str:
     """A literal map per first letter: a map is searched from its beginning, so short ones are faster."""
     letters: dict[str, list[str]] = {}
     for name, value in sorted(html.entities.html5.items()):
-        letters.setdefault(name[0], []).append(f"{_literal(name)}, {_literal(value)}")
-    return ", ".join(f"{_literal(letter)}, map({', '.join(pairs)})" for letter, pairs in letters.items())
+        letters.setdefault(name[0], []).append(f"{literal(name)}, {literal(value)}")
+    return ", ".join(f"{literal(letter)}, map({', '.join(pairs)})" for letter, pairs in letters.items())
 
 
 def _named(name: Column) -> Column:
@@ -115,18 +115,20 @@ def clean_reference(text: Column) -> Column:
     to a variable, so that asking what it holds does not compute it anew.
     """
 
-    def cleaned(bound: Column) -> Column:
-        whole = bound
-        for pattern in (DOI_PREFIX, ANGLED, ENTITY, URL, SINGLE_MARKS):
-            whole = F.regexp_replace(whole, pattern, "")
-        return F.when(_maybe_marked_up(bound), whole).otherwise(F.regexp_replace(bound, SINGLE_MARKS, ""))
+    return F.get(F.transform(F.array(text), clean_column), F.lit(0))
 
-    return F.get(F.transform(F.array(text), cleaned), F.lit(0))
+
+def clean_column(bound: Column) -> Column:
+    """``clean_reference`` of a text that costs nothing to read again, such as a column."""
+    whole = bound
+    for pattern in (DOI_PREFIX, ANGLED, ENTITY, URL, SINGLE_MARKS):
+        whole = F.regexp_replace(whole, pattern, "")
+    return F.when(_maybe_marked_up(bound), whole).otherwise(F.regexp_replace(bound, SINGLE_MARKS, ""))
 
 
 def clean_again(cleaned: Column) -> Column:
     """``clean_reference`` of a text that it gave: the marks are gone, a tag or URL may have formed."""
-    return F.when(_maybe_marked_up(cleaned), clean_reference(cleaned)).otherwise(cleaned)
+    return F.when(_maybe_marked_up(cleaned), clean_column(cleaned)).otherwise(cleaned)
 
 
 def has_token(text: Column) -> Column:

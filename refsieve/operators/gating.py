@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refsieve.functions import text, works
-from refsieve.functions.gate import passing
+from refsieve.functions.gate import passing, worked_out
 
 UNSTRUCTURED, AUTHORS = "unstructured", "authors"
 
@@ -77,8 +77,36 @@ def processable_array(
 def processable_refs(
     df: DataFrame, prefer: str = UNSTRUCTURED, cut: int = TEXT_CUT, key: str = "DOI"
 ) -> DataFrame:
-    """One row per processable reference: ``key, ref_idx, ref_type, text``."""
-    return df.select(key, F.inline(processable_array(F.col("reference"), prefer, cut)))
+    """One row per processable reference: ``key, ref_idx, ref_type, text``.
+
+    The same as ``processable_array``, but references become rows first and their texts columns.
+    """
+    sides = {
+        UNSTRUCTURED: (F.col("_free"), F.substring(text.strip_html(F.col("_free")), 1, cut)),
+        AUTHORS: (F.col("_author"), text.strip_html(F.col("_author"))),
+    }
+    first = prefer
+    second = AUTHORS if prefer == UNSTRUCTURED else UNSTRUCTURED
+
+    def of_chosen(value: Callable[[str], Column]) -> Column:
+        return F.when(sides[first][0].isNotNull(), value(first)).when(
+            sides[second][0].isNotNull(), value(second)
+        )
+
+    refs = df.select(key, F.posexplode_outer("reference").alias("_pos", "_r")).select(
+        key,
+        (F.col("_pos") + 1).alias("ref_idx"),
+        F.col("_r.unstructured").alias("_free"),
+        F.col("_r.author").alias("_author"),
+    )
+    visible = worked_out(refs, of_chosen(lambda side: sides[side][1]), "_visible").select(
+        key, "ref_idx", of_chosen(F.lit).alias("ref_type"), "_visible"
+    )
+    cleaned = F.when(F.col("ref_type") == UNSTRUCTURED, text.clean_column(F.col("_visible"))).otherwise(
+        F.col("_visible")
+    )
+    kept = worked_out(visible, cleaned, "text").filter(text.has_token(F.col("text")))
+    return kept.select(key, "ref_idx", "ref_type", "text")
 
 
 def percentage(part: Column, whole: Column) -> Column:

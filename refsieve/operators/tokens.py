@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from refsieve import fixed_values
 from refsieve.functions import text
-from refsieve.functions.gate import once, passing
+from refsieve.functions.gate import once, worked_out
 from refsieve.operators.gating import AUTHORS, MIN_PROCESSABLE, UNSTRUCTURED
 
 MIN_FRACTION = 0.5
@@ -67,9 +67,15 @@ def stop_lists(stop: DataFrame) -> dict[str, list[str]]:
 
 
 def cleaned_refs(refs: DataFrame, key: str = "DOI") -> DataFrame:
-    """Clean processable references once more and drop those that have no token left."""
-    kept = passing(text.clean_reference(F.col("text")), text.has_token)
-    return refs.select(key, "ref_idx", "ref_type", kept.alias("text"))
+    """Clean processable references once more and drop those that have no token left.
+
+    Free text was cleaned when it was chosen, author strings were not.
+    """
+    again = F.when(F.col("ref_type") == UNSTRUCTURED, text.clean_again(F.col("text"))).otherwise(
+        text.clean_column(F.col("text"))
+    )
+    kept = worked_out(refs, again, "_again").filter(text.has_token(F.col("_again")))
+    return kept.select(key, "ref_idx", "ref_type", F.col("_again").alias("text"))
 
 
 def reference_tokens(refs: DataFrame, key: str = "DOI") -> DataFrame:
@@ -90,16 +96,32 @@ def reference_tokens(refs: DataFrame, key: str = "DOI") -> DataFrame:
     )
 
 
+def is_stop_word(token: str, ref_type: str, words: dict[str, list[str]]) -> str:
+    """Whether a token is a stop word of its reference type, as SQL text with literal sets.
+
+    Written as SQL text, because two thousand literals parse far faster than they cross py4j.
+    """
+    cases = [
+        f"WHEN {text.literal(kind)} THEN lower({token}) IN ({', '.join(text.literal(w) for w in listed)})"
+        for kind, listed in words.items() if listed
+    ]
+    return f"CASE {ref_type} {' '.join(cases)} ELSE false END" if cases else "false"
+
+
 def remove_stopwords(
-    tokens: DataFrame, stop: DataFrame, ref_type: str | None = None
+    tokens: DataFrame, stop: DataFrame | dict[str, list[str]], ref_type: str | None = None
 ) -> DataFrame:
     """Drop tokens whose lower-case form is a stop word of their reference type.
 
-    The stop side carries no broadcast hint: Spark broadcasts it when its size allows, and
-    otherwise shuffles and splits skewed words.
+    Stop words given as lists, as ``stop_lists`` makes them, become literal sets, which cost a token
+    far less than a join. A table may be of any size. It carries no broadcast hint: Spark broadcasts
+    it when its size allows, and otherwise shuffles and splits skewed words.
     """
     if ref_type is not None:
         tokens = tokens.filter(F.col("ref_type") == ref_type)
+    if isinstance(stop, dict):
+        return tokens.filter(~F.expr(is_stop_word("token", "ref_type", stop)))
+    if ref_type is not None:
         stop = stop.filter(F.col("ref_type") == ref_type)
     words = stop.select(F.col("ref_type").alias("stop_type"), F.col("word").alias("stop_word"))
     matches = (F.col("ref_type") == F.col("stop_type")) & (

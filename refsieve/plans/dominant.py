@@ -13,25 +13,17 @@ from pyspark.sql import functions as F
 from refsieve.functions import text, works
 from refsieve.functions.gate import once, passing
 from refsieve.operators import gating
-from refsieve.operators.gating import AUTHORS, MIN_PROCESSABLE, UNSTRUCTURED
-from refsieve.operators.tokens import MIN_FRACTION
+from refsieve.operators.gating import MIN_PROCESSABLE, UNSTRUCTURED
+from refsieve.operators.tokens import MIN_FRACTION, is_stop_word
 from refsieve.schema import RESULT
 
-def _literal_set(words: list[str]) -> str:
-    quoted = [word.replace("\\", "\\\\").replace("'", "\\'") for word in words]
-    return ", ".join(f"'{word}'" for word in quoted) or "NULL"
-
 
 def _kept_tokens(words: dict[str, list[str]]) -> Column:
-    """Tokens per cleaned reference without the stop words of its type.
-
-    Written as SQL text, because two thousand literals parse far faster than they cross py4j.
-    """
+    """Tokens per cleaned reference without the stop words of its type."""
     pattern = text.TOKEN.replace("\\", "\\\\")
     return F.expr(
         f"""transform(cleaned, p -> filter(regexp_extract_all(p.text, '{pattern}', 0), t -> NOT
-        CASE WHEN p.ref_type = '{UNSTRUCTURED}' THEN lower(t) IN ({_literal_set(words[UNSTRUCTURED])})
-             ELSE lower(t) IN ({_literal_set(words[AUTHORS])}) END))"""
+        {is_stop_word("t", "p.ref_type", words)}))"""
     )
 
 

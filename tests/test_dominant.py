@@ -197,3 +197,40 @@ def test_computed_references_are_computed_once_behind_the_gate(spark):
     assert kept.columns == ["id", "reference"]
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("transform(") == 1
     assert sorted(r["id"] for r in kept.select("id").collect()) == list(range(25, 40))
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("prefer", ["unstructured", "authors"])
+def test_texts_of_references_are_columns_and_not_lambdas(spark, prefer):
+    """Inside a lambda over the references every text was interpreted, not compiled."""
+    odd = [
+        {"DOI": "nulls", "reference": [None, {}, {"unstructured": "", "author": "Ab"}, {"author": "1"}, {"author": "Cd"}]},
+        {"DOI": "none", "reference": []}, {"DOI": "null", "reference": None},
+        {"DOI": "marks", "reference": [{"unstructured": "<b>A &amp;amp; Bc &lt;i&gt; doi:1 ", "author": "http://x Ef"}] * 2},
+    ]
+    frame = made(works() + odd, spark)
+    found = gating.processable_refs(frame, prefer)
+    wanted = frame.select("DOI", F.inline(gating.processable_array(F.col("reference"), prefer)))
+    assert found.columns == wanted.columns
+    assert sorted(found.collect()) == sorted(wanted.collect()) and "transform(reference" not in plan_of(found)
+    twice = wanted.select("DOI", "ref_idx", "ref_type", tk.text.clean_reference(F.col("text")).alias("text"))
+    again = tk.cleaned_refs(found)
+    assert sorted(again.collect()) == sorted(twice.filter(tk.text.has_token(F.col("text"))).collect())
+
+
+def test_stop_words_in_lists_need_no_join(spark):
+    refs = tk.cleaned_refs(gating.processable_refs(made(works(), spark)))
+    tokens = tk.reference_tokens(refs)
+    lists, table = tk.remove_stopwords(tokens, STOP), tk.remove_stopwords(tokens, stop_rows(spark))
+    assert sorted(lists.collect()) == sorted(table.collect()) and lists.count() < tokens.count()
+    assert "Join" not in plan_of(lists) and "Join" in plan_of(table)
+    assert tk.remove_stopwords(tokens, {"unstructured": [], "authors": []}).count() == tokens.count()
+
+
+def test_empty_stop_lists_keep_every_token(spark):
+    """An empty list became ``IN (NULL)``, which is neither true nor false, and dropped every token."""
+    found = dominant_token_works(made(works(), spark), {"unstructured": [], "authors": []})
+    assert {"stop_only", "over_gate"} <= {r["DOI"] for r in found.collect()}

@@ -98,7 +98,7 @@ def cleaned(spark, sf):
 
 def kept_tokens(spark, sf, ref_type=None, refs=None):
     refs = cleaned(spark, sf) if refs is None else refs
-    return tk.remove_stopwords(tk.reference_tokens(refs), stop_words(spark, sf), ref_type)
+    return tk.remove_stopwords(tk.reference_tokens(refs), stop_lists(spark, sf), ref_type)
 
 
 def digest(value: Column, *names: str) -> list[Column]:

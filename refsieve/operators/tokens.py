@@ -130,12 +130,15 @@ def remove_stopwords(
     return tokens.join(words, matches, "left_anti")
 
 
-def token_counts(tokens: DataFrame, key: str = "DOI") -> DataFrame:
+def token_counts(tokens: DataFrame, key: str = "DOI", by_work: bool = False) -> DataFrame:
     """Occurrences and references per work and token.
 
     The references of a work come from one input row, so all its counts are combined before the
-    one shuffle.
+    one shuffle. ``by_work`` shuffles occurrences by work instead, for what then looks at whole
+    works: ``dominant_tokens`` of such counts needs no shuffle of its own.
     """
+    if by_work:
+        tokens = tokens.select(key, "token", "first").repartition(key)
     return tokens.groupBy(key, "token").agg(
         F.count("*").alias("token_count"), F.count_if("first").alias("reference_count")
     )

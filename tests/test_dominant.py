@@ -234,3 +234,13 @@ def test_empty_stop_lists_keep_every_token(spark):
     """An empty list became ``IN (NULL)``, which is neither true nor false, and dropped every token."""
     found = dominant_token_works(made(works(), spark), {"unstructured": [], "authors": []})
     assert {"stop_only", "over_gate"} <= {r["DOI"] for r in found.collect()}
+
+
+def test_counts_by_work_are_shuffled_once(spark):
+    """Counts dealt by work and token were shuffled by work once more."""
+    refs = tk.cleaned_refs(gating.processable_refs(made(works(), spark)))
+    kept = tk.remove_stopwords(tk.reference_tokens(refs), STOP)
+    once, twice = (tk.dominant_tokens(tk.token_counts(kept, by_work=b)) for b in (True, False))
+    assert sorted(once.collect()) == sorted(twice.collect())
+    plan = once._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -341,13 +341,13 @@ def token_counts(spark, sf):
 
 
 def dominant_tokens(spark, sf):
-    return flat(tk.dominant_tokens(tk.token_counts(kept_tokens(spark, sf))))
+    return flat(tk.dominant_tokens(tk.token_counts(kept_tokens(spark, sf), by_work=True)))
 
 
 def token_fraction(spark, sf):
     # Read for tokens and for lengths, and cleaned by many patterns: written once instead.
     refs = stored(cleaned(spark, sf), "cleaned", "zstd")
-    best = tk.dominant_tokens(tk.token_counts(kept_tokens(spark, sf, refs=refs)))
+    best = tk.dominant_tokens(tk.token_counts(kept_tokens(spark, sf, refs=refs), by_work=True))
     scored = tk.token_fraction(best, tk.cleaned_lengths(refs), min_fraction=0.1)
     return flat(
         scored.select("DOI", "token_vocabulary", "token_frac_refs", "cleaned_references_length")

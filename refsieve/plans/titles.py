@@ -11,7 +11,8 @@ from refsieve.fixed_values import PARTNER_NAMES, SIMILAR_TITLE_COLUMNS, STOP_TIT
 from refsieve.functions import text
 from refsieve.operators.copies import members
 from refsieve.operators.grouping import not_in, sum_over
-from refsieve.operators.sets import join_pairs, join_partner
+from refsieve.operators.sets import join_partner
+from refsieve.session import stored
 
 
 def clean_titles(
@@ -39,13 +40,17 @@ def similar_title_report(articles: DataFrame, pairs: DataFrame, titles: DataFram
     ``DOI_counts`` and ``container_title_counts`` add up partners, as a full listing would count
     its rows: pairs of different titles once, under the first, and copies under both.
     """
-    groups = members(titles, "title").withColumnRenamed("member", "DOI")
+    groups = stored(members(titles, "title").withColumnRenamed("member", "DOI"), "members")
     same = F.col("id1") == F.col("id2")
     partners = F.when(same, F.col("copies1") - 1).otherwise(F.col("copies2"))
     keyed = pairs.select("id1", F.col("id2").alias("DOI2"), "score", "copies1", "copies2", partners.alias("n_partners"))
-    keyed = keyed.join(groups, F.col("id1") == F.col("id")).drop("id", "id1")
     named = titles.select(F.col("DOI").alias("DOI2"), F.col("title").alias("doi2_title"))
-    counted = sum_over(keyed.join(named, "DOI2"), "DOI", "n_partners", "DOI_counts")
-    combined = join_pairs(articles.select(SIMILAR_TITLE_COLUMNS), counted)
-    report = join_partner(combined, articles, PARTNER_NAMES)
-    return sum_over(report, "container_title", "n_partners", "container_title_counts")
+    partner = join_partner(named, articles, PARTNER_NAMES)
+    # All works of a title have the same partners: they are summed before the works are looked up.
+    found = sum_over(keyed, "id1", "n_partners", "DOI_counts").join(partner, "DOI2")
+    works = articles.select(SIMILAR_TITLE_COLUMNS).join(groups, "DOI")
+    sums = found.groupBy("id1").agg(F.sum("n_partners").alias("_n"))
+    contained = works.select("container_title", "id").join(sums, F.col("id") == F.col("id1"))
+    totals = contained.groupBy(F.col("container_title").alias("_key")).agg(F.sum("_n").alias("container_title_counts"))
+    report = works.join(found, F.col("id") == F.col("id1")).drop("id", "id1")
+    return report.join(totals, F.col("container_title") == F.col("_key"), "left").drop("_key")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from refsieve.operators import characters, copies, embeddings, hashed_vectors, prefix_join, tfidf
+from workload import queries, views
 
 
 def titles():
@@ -245,3 +246,41 @@ def test_similar_title_report_counts_every_pair_of_works(spark, frame):
         container[works[doi][0][:1]] += n
     assert {r["container_title"]: r["container_title_counts"] for r in report} == {k: n for k, n in container.items() if n}
     assert len(report) <= len(works) * max(len(known), 1)
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_vectors_do_not_depend_on_batches(spark, frame, monkeypatch, batch):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    monkeypatch.setattr(prefix_join, "ROWS_PER_BLOCK", 5)
+    try:
+        near, _ = collected(tfidf.tfidf_scores(frame, 0.5))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert near == brute(cosine_function(), 0.5)
+
+
+def test_vectors_travel_as_numbers_and_pairs_without_titles(spark, frame):
+    """Vectors were shuffled with their words, and both titles were joined to every pair, though never read."""
+    pairs = tfidf.tfidf_scores(frame, 0.8)
+    assert pairs.columns == ["id1", "id2", "copies1", "copies2", "score", "n_pairs"]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "collect_list" not in plan
+    groups = copies.collapse(frame, "title")
+    terms = tfidf._numbered_terms(groups)
+    cells = tfidf._in_cells(tfidf._weighted_terms(groups, terms), terms, 0.8)
+    assert not [f.name for f in cells.schema if "string" in f.dataType.simpleString() and f.name != "id"]
+
+
+def test_title_is_the_first_sentence_with_a_term(spark, tmp_path):
+    texts = ["One two. Three", "..\n a. b\n  cd e . fg", "a b. c", "", None, "x" * 9 + "\n", ". é ü. Ünder 😀 é", "a " * 20_000 + "zz."]
+    rows = [(i * 19 * 17 * 12 + 1, t, "en", "src1", 1) for i, t in enumerate(texts)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    made.write.parquet(str(tmp_path / "documents.parquet"))
+    whole, light = (
+        views.works(spark, str(tmp_path), references=flag).select("DOI", "title", "author", "issn-type").orderBy("DOI").collect()
+        for flag in (True, False)
+    )
+    assert whole == light and sum(r["title"] is not None and r["title"][0] is not None for r in whole) == 5
+    plan = queries._articles(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan

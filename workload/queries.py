@@ -62,7 +62,8 @@ def stop_words(spark, sf):
 
 def first_titles(spark, sf):
     """``DOI, title`` of all works that have a title, one row per DOI."""
-    titled = views.works(spark, sf).select("DOI", wx.first_title(F.col("title")).alias("title"))
+    works = views.works(spark, sf, references=False)
+    titled = works.select("DOI", wx.first_title(F.col("title")).alias("title"))
     return titled.filter(F.col("title") != "").groupBy("DOI").agg(F.max("title").alias("title"))
 
 
@@ -634,12 +635,12 @@ def _keyed_pairs(spark, sf):
 
 
 def _articles(spark, sf):
-    works = gating.project_work(views.works(spark, sf))
+    works = gating.project_work(views.works(spark, sf, references=False))
     return works.withColumn(
         "print_issn", wx.issn_of_type(F.col("issn"), "print")
     ).withColumn("electronic_issn", wx.issn_of_type(F.col("issn"), "electronic")).withColumn(
         "container_title", wx.container_name(F.col("container_title"))
-    )
+    ).select(SIMILAR_TITLE_COLUMNS)
 
 
 def join_pairs(spark, sf):
@@ -747,15 +748,15 @@ def title_members(spark, sf):
 
 
 def similar_title_report(spark, sf):
-    articles = stored(_articles(spark, sf).select(SIMILAR_TITLE_COLUMNS), "articles")
+    articles = stored(_articles(spark, sf), "articles")
     cleaned = stored(titles.clean_titles(articles, STOP_TITLES).filter(F.col("title") != ""), "cleaned")
-    pairs = stored(tfidf.tfidf_pairs(cleaned), "title-pairs")
+    pairs = stored(tfidf.tfidf_scores(cleaned), "title-pairs")
     return flat(titles.similar_title_report(articles, pairs, cleaned))
 
 
 def similar_vector_report(spark, sf):
     """The same report from vectors: works with an embedding, which is what is compared."""
-    articles = stored(_articles(spark, sf).select(SIMILAR_TITLE_COLUMNS), "articles")
+    articles = stored(_articles(spark, sf), "articles")
     vectors = views.table(spark, sf, "embeddings").select(
         F.concat(F.lit("10.5555/"), "vec_id").alias("DOI"), F.col("embedding").alias("title"))
     pairs = stored(embeddings.embedding_pairs(vectors, 0.45, "DOI", "title"), "vector-pairs")
